@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import language, media, packing, quality, sharding, simhash, token_files
 
 QUERIES = {
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_flac_media": media.op6_flac_media,
     "op7_token_files": token_files.op7_token_files,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_language_id": language.op9_language_id,
+    "op10_ring_sharding": sharding.op10_ring_sharding,
 }
 
 #: DuckDB SQL where SQL can express the operator.
