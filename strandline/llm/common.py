@@ -77,6 +77,35 @@ def map_columns(df: DataFrame, schema: str, fn: Callable[[], Callable[[dict], di
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema=None) -> DataFrame:
+    """mapInArrow over whole batches; columns that `fn` leaves alone keep their Arrow values."""
+    kind = schema or df.schema
+    out = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = fn()
+        for batch in batches:
+            if batch.num_rows:
+                made = step(batch)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made.columns, out, strict=True)], schema=out)
+
+    return df.mapInArrow(run, kind)
+
+
+def column_of(batch: pa.RecordBatch, name: str) -> list:
+    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def where(df: DataFrame, keep: Callable[[], Callable[[list], list[bool]]], column: str = "text") -> DataFrame:
+    """Whole rows for which `keep()` says so of the column's values."""
+
+    def start():
+        test = keep()
+        return lambda batch: batch.filter(pa.array(test(column_of(batch, column)), pa.bool_()))
+
+    return map_batches(df, start)
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5, is 0 (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0

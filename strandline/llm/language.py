@@ -4,7 +4,8 @@ A suffix automaton of labelled text per language gives the longest match from an
 each as long as the automaton allows; a phrase costs the bits of a place in the labelled text. The language that needs the
 fewest normalised phrases (bits a symbol) wins; ties go to the first in alphabetical order.
 
-Texts are taken as runs of letters, in lower case, with one space between; phrases end at every SEGMENT-th symbol, so
+Texts are taken as runs of letters, in lower case, with one space between; a symbol that no labelled text has ends the
+phrase that it stands in; phrases end at every SEGMENT-th symbol, so
 segments of a batch are parsed in step. Learned from at most ROWS labelled rows a language (documented bound): those
 with the smallest hash of doc_id among texts of at most CHARS code points, longer ones only where these are too few, and
 at most SYMBOLS of their symbols. Only rows that are not held out are learned from.

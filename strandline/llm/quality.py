@@ -178,15 +178,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept(docs: DataFrame, trees: Trees) -> DataFrame:
-    """Whole rows of documents that are not rejected: text and score meet in the same pass."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def start():
-        def step(cols: dict) -> dict:
-            score = trees.score(np.array([statistics(t) for t in cols["text"]], np.float64))
-            keep = np.flatnonzero(score >= THRESHOLD).tolist()
-            return {k: [v[i] for i in keep] for k, v in cols.items()}
-
-        return step
-
-    return common.map_columns(docs, schema, start)
+    """Whole rows of documents that are not rejected."""
+    return common.where(
+        docs, lambda: lambda texts: (trees.score(np.array([statistics(t) for t in texts])) >= THRESHOLD).tolist()
+    )

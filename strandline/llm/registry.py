@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, media, packing, quality, sharding, simhash, token_files
+from . import attribution, decontamination, language, media, packing, quality, secrets, sharding, simhash, token_files
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
+    "op4_token_counts": attribution.op4_token_counts,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_flac_media": media.op6_flac_media,
     "op7_token_files": token_files.op7_token_files,

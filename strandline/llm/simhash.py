@@ -1,7 +1,7 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
-Fingerprints that differ in at most RADIUS of 64 bits agree in whole on RADIUS - 1 ... of CUTS segments, so every pair of
-near fingerprints meets in a bucket of some choice of CUTS - RADIUS segments. Within buckets, fingerprints are stored as
+Fingerprints that differ in at most RADIUS of 64 bits agree on CUTS - RADIUS of CUTS segments at least, so every pair of
+near fingerprints meets in a bucket of some choice of that many segments. Within buckets, fingerprints are stored as
 bit planes, one bit of 64 neighbours in a word. The planes of the list and of the list moved on by s places are compared
 for s = 1, 2, ...: carry-save counters hold the distances of all neighbours in step, and words are abandoned once every
 pair in them is beyond the radius. A bucket that holds more than CROWD different fingerprints is dealt out as pairs of
@@ -17,8 +17,10 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 from .components import components
@@ -224,23 +226,47 @@ def links(prints: DataFrame, radius: int = RADIUS, cuts: int = CUTS, crowd: int
     return common.map_columns(sorted_rows, "a long, b long", start)
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row a document: doc_id, fingerprint, component_id."""
-    common.tune(docs.sparkSession)
-    prints, _ = common.written(fingerprints(docs), "prints")
+def roots(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Each different print with the smallest doc_id that has it (`rep`) and its component's root print."""
     different, _ = common.written(
         prints.groupBy("print").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep")), "different"
     )
     reached = components(links(different.select("print"), radius))
     rooted = different.join(reached.select(F.col("a").alias("print"), F.col("b").alias("root")), "print", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "print"))
+    return rooted.withColumn("root", F.coalesce("root", "print"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row a document: doc_id, fingerprint, component_id."""
+    common.tune(docs.sparkSession)
+    prints, _ = common.written(fingerprints(docs), "prints")
+    rooted = roots(prints, radius)
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    roots = rooted.join(least, "root").select("print", "component_id")
-    return prints.join(roots, "print").select(
+    return prints.join(rooted.join(least, "root").select("print", "component_id"), "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"),
     )
 
 
+def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Whole rows: of each component one document, that of the smallest doc_id; of repeated rows one."""
+    common.tune(docs.sparkSession)
+    prints, _ = common.written(fingerprints(docs), "prints")
+    best = roots(prints, radius).groupBy("root").agg(F.min(F.struct("rep", "print")).alias("x"))
+    key, mark = (next(n for n in (f"{x}{'_' * k}" for k in range(99)) if n not in docs.columns) for x in ("key", "print"))
+    chosen = best.select(F.col("x.rep").alias(key), F.col("x.print").alias(mark))
+
+    def start():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = np.array([fingerprint(x) for x in common.column_of(batch, "text")], np.uint64).view(np.int64)
+            return batch.append_column(mark, pa.array(found))
+
+        return step
+
+    schema = StructType([*docs.schema.fields, StructField(mark, LongType())])
+    marked = common.map_batches(docs, start, schema).withColumn(key, F.coalesce("doc_id", F.lit(NO_ID)))
+    return marked.join(chosen, [key, mark], "left_semi").dropDuplicates([key, mark]).select(docs.columns)
+
+
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))
