@@ -81,17 +81,29 @@ def decode_table(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, n
     return ids, bits
 
 
-def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The code words, most significant bit first, and the bit offset of every CHECKPOINT-th one."""
+def encode_bits(runs: list[np.ndarray], codes: np.ndarray, lengths: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+    """For each run of ids its code words, most significant bit first, and the bit offset of every CHECKPOINT-th one."""
+    if not runs:
+        return []
+    n = np.array([len(x) for x in runs], np.int64)
+    ids = np.concatenate(runs)
     size = lengths[ids].astype(np.int64)
-    at = np.cumsum(size) - size
-    total = int(at[-1] + size[-1]) if len(ids) else 0
+    end = np.concatenate([[0], np.cumsum(size)])
+    first = np.concatenate([[0], np.cumsum(n)])
+    total = np.diff(end[first])  # bits of each run, which begins at a whole byte
+    room = (total + 7) // 8
+    base = 8 * (np.cumsum(room) - room)
+    at = end[:-1] + np.repeat(base - end[first[:-1]], n)
     word = codes[ids].astype(np.int64) << (24 - size - (at & 7))
-    byte, n = at >> 3, (total + 7) // 8 + 3
-    out = np.zeros(n, np.int64)
+    byte, m = at >> 3, int(room.sum()) + 3
+    out = np.zeros(m, np.int64)
     for k, shift in enumerate((16, 8, 0)):  # a code word touches three bytes at most; bits never overlap, so sums serve
-        out += np.bincount(byte + k, weights=(word >> shift) & 0xFF, minlength=n).astype(np.int64)
-    return out[: (total + 7) // 8].astype(np.uint8).tobytes(), at[::CHECKPOINT]
+        out += np.bincount(byte + k, weights=(word >> shift) & 0xFF, minlength=m).astype(np.int64)
+    raw = out.astype(np.uint8).tobytes()
+    return [
+        (raw[b // 8 : b // 8 + r], at[s : s + k : CHECKPOINT] - b)
+        for b, r, s, k in zip(base.tolist(), room.tolist(), first.tolist(), n.tolist(), strict=False)
+    ]
 
 
 def decode_bits(data: np.ndarray, marks: np.ndarray, counts: np.ndarray, table: tuple[np.ndarray, np.ndarray], limit: int = LIMIT) -> np.ndarray:
@@ -179,7 +191,9 @@ def write(docs: DataFrame, end_id: int = END_ID, vocabulary: str | None = None,
         codes, lengths = shared.value
 
         def step(cols: dict) -> dict:
-            made = [encode_bits(unpack(x, n), codes, lengths) for x, n in zip(cols["ids"], cols["n_tokens"], strict=True)]
+            runs, made = [unpack(x, n) for x, n in zip(cols["ids"], cols["n_tokens"], strict=True)], []
+            for k in range(0, len(runs), 64):
+                made += encode_bits(runs[k : k + 64], codes, lengths)
             return {
                 "doc_id": cols["doc_id"], "n_tokens": cols["n_tokens"], "payload": [x for x, _ in made],
                 "bits": [np.diff(x, prepend=0).astype("<u2").tobytes() for _, x in made], "salt": cols["salt"],

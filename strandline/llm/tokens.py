@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 from functools import cache
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of one generation of a worker's cache (two are kept, some 180 MB), and the longest pre-token it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 450_000, 64
+#: Entries of one generation of a worker's cache (two are kept, some 250 MB), and the longest pre-token it keeps.
+CACHE_ENTRIES, CACHE_CHARS = 550_000, 64
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
@@ -57,13 +58,19 @@ class _PreTokens(dict):
 
     def __init__(self, model):
         super().__init__()
-        self.model, self.old = model, {}
+        self.tokenize, self.old = model.tokenize, {}
+        self.signs = _byte_signs()
+        self.space = self.signs[0x20]
 
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
-            signs = piece.encode().decode("latin-1").translate(_byte_signs())
-            out = np.array([t.id for t in self.model.tokenize(signs)], "<u4").tobytes()
+            word = piece[1:] if piece[0] == " " else piece
+            if word.isascii() and word.isalnum():
+                signs = self.space + word if piece[0] == " " else word
+            else:
+                signs = piece.encode().decode("latin-1").translate(self.signs)
+            out = array("I", [t.id for t in self.tokenize(signs)]).tobytes()
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.old = dict(self)
@@ -90,8 +97,8 @@ class Encoder:
                 out[i] = b"".join([self.known[text[s:e]] for _, (s, e) in spans])
             elif text:
                 plain.append(i)
-        for at in range(0, len(plain), 256):
-            part = plain[at : at + 256]
+        for at in range(0, len(plain), 64):
+            part = plain[at : at + 64]
             for i, ids in zip(part, self._plain([texts[i] for i in part]), strict=True):
                 out[i] = ids
         return out
