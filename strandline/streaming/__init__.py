@@ -1,0 +1 @@
+"""Streams of diffs: the per-diff operators on Structured Streaming."""
