@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,11 +43,11 @@ def filtered_files(files: DataFrame, options: PathFilter) -> DataFrame:
     own = filter_paths(files)
     keep = F.size(own) > 0
     if options.include:
-        keep &= F.exists(own, lambda p: paths.glob_match(options.include, p))
+        keep &= F.exists(own, partial(paths.glob_match, options.include))
     if options.exclude_vendor:
         keep &= ~F.exists(own, paths.is_vendor)
     for pattern in options.excludes:
-        keep &= ~F.exists(own, lambda p, pattern=pattern: paths.glob_match(pattern, p))
+        keep &= ~F.exists(own, partial(paths.glob_match, pattern))
     return files.where(keep)
 
 
