@@ -40,23 +40,32 @@ def changed_symbols(changed: DataFrame, symbols: DataFrame, moves: DataFrame) ->
     return with_id(symbols).join(kept, "name", "left_semi").select("id")
 
 
+#: Steps that one pass of a loop takes: fewer tables between passes, for some steps taken twice.
+HOPS = 4
+
+
 def _closure(start: DataFrame, steps: DataFrame, name: str) -> DataFrame:
-    """Names that `start` reaches over steps (a, b), with itself. Frontier by frontier; each edge is taken once."""
+    """Names that `start` reaches over steps (a, b), with itself, frontier by frontier."""
     frontier = cut(start.select("name").distinct(), name)
     reached = frontier
     while not frontier.isEmpty():
-        ahead = frontier.join(steps, frontier["name"] == steps["a"]).select(F.col("b").alias("name")).distinct()
-        frontier = cut(ahead.join(reached, "name", "left_anti"), name)
+        ahead, seen = frontier, None
+        for _ in range(HOPS):
+            ahead = ahead.join(steps, ahead["name"] == steps["a"]).select(F.col("b").alias("name")).distinct()
+            seen = ahead if seen is None else seen.unionByName(ahead)
+        frontier = cut(seen.distinct().join(reached, "name", "left_anti"), name)
         reached = reached.unionByName(frontier)
-    return cut(reached, name)
+    return reached
 
 
 def _core(steps: DataFrame) -> DataFrame:
     """Edges that are left when symbols without a caller or without a callee are taken out, again and again."""
     left, n = steps, steps.count()
     while n:
-        kept = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-        kept = kept.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        kept = left
+        for _ in range(2):
+            kept = kept.join(kept.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b")
+            kept = kept.join(kept.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
         kept = cut(kept, "core")
         now = kept.count()
         if now == n:
@@ -67,15 +76,22 @@ def _core(steps: DataFrame) -> DataFrame:
 
 def _on_simple_paths(core: DataFrame, enters: DataFrame, leaves: DataFrame) -> DataFrame:
     """Names on simple paths of core edges from `enters` to `leaves`."""
-    paths = cut(enters.select(F.col("name").alias("end"), F.array("name").alias("path")), "paths")
-    found = None
-    while not paths.isEmpty():
-        done = paths.join(leaves, paths["end"] == leaves["name"], "left_semi")
-        names_on = done.select(F.explode("path").alias("name")).distinct()
-        found = cut(names_on if found is None else found.unionByName(names_on).distinct(), "found")
-        ahead = paths.join(core, paths["end"] == core["a"]).where(~F.array_contains("path", F.col("b")))
-        paths = cut(ahead.select(F.col("b").alias("end"), F.concat("path", F.array("b")).alias("path")), "paths")
-    return found if found is not None else enters.select("name").limit(0)
+    first = enters.select(F.col("name").alias("end"), F.array("name").alias("path"), F.lit(0).alias("hop"))
+    made = [cut(first, "paths")]
+    last = made[0]
+    while not last.isEmpty():
+        ahead, rows = last, None
+        for hop in range(1, HOPS + 1):
+            ahead = ahead.join(core, ahead["end"] == core["a"]).where(~F.array_contains("path", F.col("b")))
+            ahead = ahead.select(F.col("b").alias("end"), F.concat("path", F.array("b")).alias("path"), F.lit(hop).alias("hop"))
+            rows = ahead if rows is None else rows.unionByName(ahead)
+        made.append(cut(rows, "paths"))
+        last = made[-1].where(F.col("hop") == HOPS)
+    every = made[0]
+    for more in made[1:]:
+        every = every.unionByName(more)
+    done = every.join(leaves, every["end"] == leaves["name"], "left_semi")
+    return done.select(F.explode("path").alias("name")).distinct()
 
 
 def impact(changed: DataFrame, edges: DataFrame, symbols: DataFrame) -> Impact:
@@ -84,11 +100,11 @@ def impact(changed: DataFrame, edges: DataFrame, symbols: DataFrame) -> Impact:
     steps = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     steps = cut(steps.join(known.select(F.col("name").alias("a")), "a", "left_semi").join(known.select(F.col("name").alias("b")), "b", "left_semi").distinct(), "steps")
     names_changed = cut(changed.select("name").join(known, "name", "left_semi").distinct(), "changed")
-    above = _closure(names_changed, steps.select(F.col("b").alias("a"), F.col("a").alias("b")), "above")
+    above = cut(_closure(names_changed, steps.select(F.col("b").alias("a"), F.col("a").alias("b")), "above"), "above")
     entry = cut(above.join(steps.select(F.col("b").alias("name")), "name", "left_anti"), "entry")
     inside = steps.join(above.select(F.col("name").alias("a")), "a", "left_semi").join(above.select(F.col("name").alias("b")), "b", "left_semi")
     inside = cut(inside, "inside")
-    between = _closure(entry, inside, "between")
+    between = cut(_closure(entry, inside, "between"), "between")
     inside = cut(inside.join(between.select(F.col("name").alias("a")), "a", "left_semi"), "inside")
     core = _core(inside)
     in_core = cut(core.select(F.col("a").alias("name")).unionByName(core.select(F.col("b").alias("name"))).distinct(), "in_core")
