@@ -118,6 +118,29 @@ def impact(changed: DataFrame, edges: DataFrame, symbols: DataFrame) -> Impact:
     return Impact(entry, cut(plain.unionByName(_on_simple_paths(core, enters, cut(leaves, "leaves"))), "nodes"))
 
 
+def chains(changed: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(chain): every simple path from a symbol without callers to a changed one, callers first, joined by `->`. There can
+    be exponentially many; the report itself needs none of them."""
+    known = symbols.select("name")
+    steps = edges.select("src", "dst").join(known.select(F.col("name").alias("src")), "src", "left_semi").distinct()
+    start = changed.select("name").join(known, "name", "left_semi").distinct()
+    last = cut(start.select(F.col("name").alias("head"), F.array("name").alias("path"), F.lit(0).alias("hop")), "chains")
+    made = [last]
+    while not last.isEmpty():
+        ahead, rows = last, None
+        for hop in range(1, HOPS + 1):
+            ahead = ahead.join(steps, ahead["head"] == steps["dst"]).where(~F.array_contains("path", F.col("src")))
+            ahead = ahead.select(F.col("src").alias("head"), F.concat(F.array("src"), "path").alias("path"), F.lit(hop).alias("hop"))
+            rows = ahead if rows is None else rows.unionByName(ahead)
+        made.append(cut(rows, "chains"))
+        last = made[-1].where(F.col("hop") == HOPS)
+    every = made[0]
+    for more in made[1:]:
+        every = every.unionByName(more)
+    roots = every.join(steps.select(F.col("dst").alias("head")), "head", "left_anti")
+    return roots.select(F.array_join("path", "->").alias("chain")).distinct()
+
+
 def node_calls(nodes: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """(name, to_id, site_path, site_line): calls between nodes."""
     ids = with_id(symbols, "to_id").select(F.col("name").alias("dst"), "to_id")

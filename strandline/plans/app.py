@@ -45,7 +45,7 @@ class App:
         self.inspect = self.inspect or (lambda commits: git.diff(self.spark, self.repo, commits))
         self.current = self.current or (lambda: extract.snapshot(git.worktree(self.spark, self.repo)))
         self.base = self.base or (lambda ref: extract.snapshot(git.at_ref(self.spark, self.repo, ref)))
-        self.workspace = self.workspace or (lambda: git.worktree(self.spark, self.repo))
+        self.workspace = self.workspace or (lambda: git.worktree(self.spark, self.repo, [".git"]))
 
     def resolve(self, commits: list[str], fallback_to_head: bool) -> list[str]:
         """Without commits: what is staged, else HEAD if that is asked for and the worktree is clean."""

@@ -180,6 +180,11 @@ def impacted_nodes(spark, sf_dir):
     return _impact(spark, sf_dir).nodes
 
 
+@query(with_("changed", "edges_cur") + WALK + " SELECT array_to_string(path, '->') AS chain FROM chains")
+def root_to_changed_chains(spark, sf_dir):
+    return impact.chains(*many(spark, sf_dir, "changed", "edges_cur", "sym_cur"))
+
+
 @query(with_("changed", "edges_cur", "sym_cur") + WALK + """ SELECT e.src AS name, s.path || '::' || s.name AS to_id, e.site_path, e.site_line
 FROM edges_cur e JOIN on_chain a ON a.name = e.src JOIN on_chain b ON b.name = e.dst JOIN sym_cur s ON s.name = e.dst""")
 def node_relevant_calls(spark, sf_dir):

@@ -57,19 +57,19 @@ def has_unstaged(repo: str) -> bool:
     return any(line.startswith("??") or line[1:2] not in ("", " ") for line in lines)
 
 
-def skipped(path):
+def skipped(path, folders: list[str] = SKIPPED):
     parts = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
-    return F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED)))
+    return F.arrays_overlap(parts, F.array(*map(F.lit, folders)))
 
 
-def worktree(spark: SparkSession, repo: str) -> DataFrame:
-    """(path, content) of the files below a folder, without Git's own and vendored ones."""
+def worktree(spark: SparkSession, repo: str, folders: list[str] = SKIPPED) -> DataFrame:
+    """(path, content) of the files below a folder, without those below `folders`: Git's own and vendored ones."""
     root = repo.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root if "://" in root else f"file://{root}")
     plain = F.regexp_replace("path", "^[a-z]+:/*", "/")
     base = "/" + root.split("://")[-1].strip("/") + "/"
     rows = files.select(F.substr(plain, F.lit(len(base) + 1)).alias("path"), "content")
-    return rows.where(~skipped(F.col("path")))
+    return rows.where(~skipped(F.col("path"), folders))
 
 
 def at_ref(spark: SparkSession, repo: str, ref: str) -> DataFrame:
