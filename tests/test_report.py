@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from strandline.operators import diffs, filters, sizing
+from strandline.operators import diffs, sizing
 from strandline.operators.filters import PathFilter
 from strandline.operators.sizing import Limits
 from strandline.plans import report
