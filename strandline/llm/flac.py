@@ -337,7 +337,7 @@ def _prepare(data: bytes, frame: dict) -> bool:
     if kind >= 32:
         precision, frame["shift"] = r.read(4) + 1, r.read(5, True)
         frame["coefficients"] = [r.read(precision, True) for _ in range(order)]
-    frame["wide"], frame["parts"], frame["rice"] = 4 + r.read(2), r.read(4), r.at + 6
+    frame["wide"], frame["parts"] = 4 + r.read(2), r.read(4)
     frame["rice"] = r.at
     return True
 

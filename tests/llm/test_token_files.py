@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from strandline.llm import common, token_files, tokens
+from strandline.llm import token_files, tokens
 
 
 def plain():
