@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 END_ID = 2
-#: Ids between two bit offsets; ids in a block, about; bits of the longest code word.
-CHECKPOINT, BLOCK, LIMIT = 256, 1 << 16, 16
+#: Ids between two bit offsets; ids in a block, about; bits of the longest code word; blocks that are decoded together.
+CHECKPOINT, BLOCK, LIMIT, TOGETHER = 256, 1 << 16, 16, 16
 
 CODED = "doc_id long, n_tokens long, payload binary, bits binary, salt int"
 BLOCKS = "part int, block int, start long, doc_ids binary, nulls binary, n_tokens binary, payload binary, bytes binary, marks binary"
@@ -70,15 +70,15 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """The id and its code word's length for every value of the next `limit` bits."""
+def decode_table(lengths: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+    """For every value of the next `limit` bits the id, and below it in five bits its code word's length."""
     codes = canonical(lengths)
-    ids, bits = np.zeros(1 << limit, np.uint32), np.ones(1 << limit, np.uint8)
+    out = np.ones(1 << limit, np.uint32)
     for i in np.flatnonzero(lengths):
         shift = limit - int(lengths[i])
         at = int(codes[i]) << shift
-        ids[at : at + (1 << shift)], bits[at : at + (1 << shift)] = i, lengths[i]
-    return ids, bits
+        out[at : at + (1 << shift)] = i << 5 | lengths[i]
+    return out
 
 
 def encode_bits(runs: list[np.ndarray], codes: np.ndarray, lengths: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
@@ -94,7 +94,7 @@ def encode_bits(runs: list[np.ndarray], codes: np.ndarray, lengths: np.ndarray)
     room = (total + 7) // 8
     base = 8 * (np.cumsum(room) - room)
     at = end[:-1] + np.repeat(base - end[first[:-1]], n)
-    word = codes[ids].astype(np.int64) << (24 - size - (at & 7))
+    word = (codes << (24 - lengths.astype(np.uint32)))[ids] >> (at & 7).astype(np.uint32)
     byte, m = at >> 3, int(room.sum()) + 3
     out = np.zeros(m, np.int64)
     for k, shift in enumerate((16, 8, 0)):  # a code word touches three bytes at most; bits never overlap, so sums serve
@@ -106,21 +106,22 @@ def encode_bits(runs: list[np.ndarray], codes: np.ndarray, lengths: np.ndarray)
     ]
 
 
-def decode_bits(data: np.ndarray, marks: np.ndarray, counts: np.ndarray, table: tuple[np.ndarray, np.ndarray], limit: int = LIMIT) -> np.ndarray:
+def decode_bits(data: np.ndarray, marks: np.ndarray, counts: np.ndarray, table: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Ids of runs that begin at bit offsets `marks` of `data`, `counts` (at most CHECKPOINT) in each, run by run."""
     data = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint32)
     window = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]
-    ids, bits = table
     order = np.argsort(-counts, kind="stable")  # runs that end early drop off at the back
-    at, out = marks[order].astype(np.int64), np.zeros((CHECKPOINT, len(marks)), np.uint32)
+    at, out = marks[order].astype(np.uint32 if len(data) < 1 << 28 else np.uint64), np.zeros((CHECKPOINT, len(marks)), np.uint32)
     alive = np.searchsorted(-counts[order], -np.arange(CHECKPOINT), "left")
+    seven, three, down, low = np.uint32(7), np.uint32(3), np.uint32(32 - limit), np.uint32(31)
     for k in range(int(counts.max(initial=0))):
-        m = int(alive[k])
-        pos = at[:m]
-        peek = (window[pos >> 3] << (pos & 7).astype(np.uint32)) >> np.uint32(32 - limit)
-        out[k, order[:m]] = ids[peek]
-        at[:m] = pos + bits[peek]
-    return out.T[np.arange(CHECKPOINT)[None, :] < counts[:, None]]
+        pos = at[: int(alive[k])]
+        found = table[(window[pos >> three] << (pos & seven)) >> down]
+        out[k, : len(pos)] = found
+        pos += found & low
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return (out >> np.uint32(5)).T[back][np.arange(CHECKPOINT)[None, :] < counts[:, None]]
 
 
 def _runs(n_tokens: np.ndarray) -> np.ndarray:
@@ -266,19 +267,24 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 
         def step(cols: dict) -> dict:
             out: dict = {k: [] for k in ("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)}
-            for k in range(len(cols["part"])):
-                n, size = np.frombuffer(cols["n_tokens"][k], "<i8"), np.frombuffer(cols["bytes"][k], "<i8")
-                runs, marks = _runs(n), np.frombuffer(cols["marks"][k], "<u2").astype(np.int64)
+            for k in range(0, len(cols["part"]), TOGETHER):  # more runs in step than one block has
+                some = slice(k, k + TOGETHER)
+                n = [np.frombuffer(x, "<i8") for x in cols["n_tokens"][some]]
+                documents = [len(x) for x in n]
+                starts = [s + firsts[p] + np.cumsum(x) - x for s, p, x in zip(cols["start"][some], cols["part"][some], n, strict=True)]
+                n, size = np.concatenate(n), np.frombuffer(b"".join(cols["bytes"][some]), "<i8")
+                marks = np.frombuffer(b"".join(cols["marks"][some]), "<u2").astype(np.int64)
                 of = np.repeat(np.arange(len(n)), -(-n // CHECKPOINT))
                 sums = np.cumsum(marks)
                 head = np.searchsorted(of, np.arange(len(n)))
                 marks = sums - sums[head][of] + marks[head][of] + 8 * (np.cumsum(size) - size)[of]
-                ids = decode_bits(np.frombuffer(cols["payload"][k], np.uint8), marks, runs, table).astype("<u4")
+                ids = decode_bits(np.frombuffer(b"".join(cols["payload"][some]), np.uint8), marks, _runs(n), table).astype("<u4")
                 raw, ends = ids.tobytes(), np.cumsum(n)
                 begins = ends - n
-                nulls = np.frombuffer(cols["nulls"][k], np.uint8)
-                out["doc_id"] += [None if z else d for d, z in zip(np.frombuffer(cols["doc_ids"][k], "<i8").tolist(), nulls, strict=True)]
-                out["start"] += (begins + cols["start"][k] + firsts[cols["part"][k]]).tolist()
+                nulls, doc_ids = (b"".join(cols[c][some]) for c in ("nulls", "doc_ids"))
+                assert len(nulls) == sum(documents)
+                out["doc_id"] += [None if z else d for d, z in zip(np.frombuffer(doc_ids, "<i8").tolist(), nulls, strict=True)]
+                out["start"] += np.concatenate(starts).tolist()
                 out["n_tokens"] += n.tolist()
                 out["ids_crc32"] += [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 if with_ids:
