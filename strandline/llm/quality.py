@@ -1,7 +1,7 @@
 """Document quality by histogram gradient-boosted trees over statistics of the text.
 
 Statistics of every whole text are computed once and written. At most SAMPLE labelled rows that are not held out
-(documented bound: those with the smallest hash of doc_id) reach the driver, which bins each statistic by quantiles and
+(documented bound: those with the smallest hashes) reach the driver, which bins each statistic by quantiles and
 grows trees on histograms of gradients. Trees are flattened into arrays of one shape, so scoring walks all documents down
 one level at a time with array operations. Labels, lang, source and doc_id are no inputs.
 
@@ -20,6 +20,7 @@ from . import common
 
 SAMPLE, BINS, DEPTH, TREES, RATE, LEAST, RIDGE = 20_000, 64, 4, 120, 0.1, 8.0, 1.0
 THRESHOLD, PRIOR = 0.3, 0.5
+SLICE_BITS = 16
 
 #: Classes of bytes (fixed values): letters, digits, white space, signs by kind, bytes of other characters.
 _GROUPS = {
@@ -144,11 +145,20 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 
 def learn(described: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
+    """Trees from labelled rows that are not held out. How many rows have which leading SLICE_BITS of a hash tells up to
+    which value of them at most `sample` rows lie; only those leave their tasks, whatever the number of partitions."""
     marked = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id"), F.col("quality").cast("double").alias("y"))
     rows = described.where(~F.col("held_out")).join(marked, "doc_id")
-    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample).select("x", "y").collect()
-    x = np.array([r["x"] for r in picked], np.float64).reshape(-1, len(STATISTICS))
-    return fit(x, np.array([r["y"] for r in picked], np.float64))
+    rows = rows.withColumn("slice", F.shiftrightunsigned(F.xxhash64("doc_id", "y", "x"), 64 - SLICE_BITS))
+    total, last = 0, -1
+    for r in sorted(rows.groupBy("slice").agg(F.count("*").alias("n")).collect()):  # 1 << SLICE_BITS at most
+        total += r["n"]
+        if total > sample:
+            break
+        last = r["slice"]
+    picked = sorted((tuple(r["x"]), r["y"]) for r in rows.where(F.col("slice") <= last).select("x", "y").collect())
+    x = np.array([r[0] for r in picked], np.float64).reshape(-1, len(STATISTICS))
+    return fit(x, np.array([r[1] for r in picked], np.float64))
 
 
 def described(docs: DataFrame) -> DataFrame:
