@@ -4,9 +4,9 @@ A suffix automaton of labelled text per language gives the longest match from an
 each as long as the automaton allows; a phrase costs the bits of a place in the labelled text. The language that needs the
 fewest normalised phrases (bits a symbol) wins; ties go to the first in alphabetical order.
 
-Texts are taken as runs of letters, in lower case, with one space between; a symbol that no labelled text has ends the
-phrase that it stands in; phrases end at every SEGMENT-th symbol, so
-segments of a batch are parsed in step. Learned from at most ROWS labelled rows a language (documented bound): those
+Texts are taken as runs of letters, in lower case, with one space between, and symbols are the bytes of their UTF-8 form:
+so scripts with thousands of signs need no larger tables than others, and no sign is left out. A symbol that no labelled
+text has ends the phrase that it stands in; phrases end at every SEGMENT-th symbol, so segments of a batch are parsed in step. Learned from at most ROWS labelled rows a language (documented bound): those
 with the smallest hash of doc_id among texts of at most CHARS code points, longer ones only where these are too few, and
 at most SYMBOLS of their symbols. Only rows that are not held out are learned from.
 
@@ -43,12 +43,13 @@ def _letters() -> np.ndarray:
 
 
 def symbols(text: str | None) -> np.ndarray:
-    """Lower-case letters, and 32 for each run of other signs between them."""
+    """UTF-8 bytes of the lower-case letters, and of a space for each run of other signs between them."""
     letters = _letters()[code_points(text or "")]
     kept = letters != 0
     kept[1:] |= letters[:-1] != 0
     out = np.where(letters, letters, 32)[kept]
-    return out[:-1] if len(out) and out[-1] == 32 else out
+    out = out[:-1] if len(out) and out[-1] == 32 else out
+    return np.frombuffer(out.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
 
 
 class Automaton:
@@ -112,18 +113,17 @@ class Model:
         parts = {lang: [symbols(t) for t in own] for lang, own in texts.items()}
         parts = {lang: own for lang, own in parts.items() if any(map(len, own))}
         self.langs = sorted(parts)
-        seen = np.unique(np.concatenate([x for own in parts.values() for x in own])) if parts else np.zeros(0, np.uint32)
-        common_signs = seen[:250]
-        self.classes = np.zeros(0x110000, np.uint8)  # 0: in no labelled text
-        self.classes[common_signs] = np.arange(1, len(common_signs) + 1)
-        size = len(common_signs) + 2
+        seen = np.unique(np.concatenate([x for own in parts.values() for x in own])) if parts else np.zeros(0, np.uint8)
+        self.classes = np.zeros(256, np.uint8)  # 0: in no labelled text
+        self.classes[seen] = np.arange(1, len(seen) + 1)  # UTF-8 uses 243 of 256 bytes at most
+        size = len(seen) + 2
         self.automata, self.bits = [], []
         for lang in self.langs:
             sequence: list[int] = []
             for x in parts[lang]:
                 sequence += [*self.classes[x].tolist(), size - 1]  # a class between texts that no text has
             sequence = sequence[:SYMBOLS]
-            self.automata.append(Automaton([c or size - 1 for c in sequence], size))
+            self.automata.append(Automaton(sequence, size))
             self.bits.append(float(np.log2(len(sequence) + 1)))
 
     def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

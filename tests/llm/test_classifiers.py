@@ -92,3 +92,14 @@ def test_language_odd_rows(spark):
     bare = docs.where("lang is null")
     assert {r["lang_pred"] for r in language.identify(bare).collect()} == {"und"}
     assert language.identify(docs.limit(0)).collect() == []
+
+
+def test_languages_of_thousands_of_signs():
+    """Two languages over the same 3,000 signs, which differ only in what follows what."""
+    rng = np.random.default_rng(2)
+    signs = [chr(0x4E00 + k) for k in range(3000)]
+    words = {lang: ["".join(rng.choice(signs, 3)) for _ in range(300)] for lang in ("p", "q")}
+    text = {lang: lambda n, own=own: " ".join(rng.choice(own, n)) for lang, own in words.items()}
+    model = language.Model({lang: [make(100) for _ in range(30)] for lang, make in text.items()})
+    asked = [(lang, text[lang](40)) for lang in ("p", "q") for _ in range(20)]
+    assert model.predict([t for _, t in asked])[0] == [lang for lang, _ in asked]
