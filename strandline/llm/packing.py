@@ -19,8 +19,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from . import common, tokens
 
@@ -230,19 +232,23 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
     ranked = parted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")))
     ranked = ranked.join(before, ["length", "part"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
 
-    def place(frames):
-        for frame in frames:
-            sequence, offset = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
-            lengths, rank = frame["length"].to_numpy(), frame["rank"].to_numpy()
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def start():
+        def place(batch: pa.RecordBatch) -> pa.RecordBatch:  # in Arrow, where a null among the ids rounds no others
+            lengths, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
+            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for x in np.unique(lengths):
                 at = np.flatnonzero(lengths == x)
                 ranks, bins, offsets = where[int(x)]
                 k = np.searchsorted(ranks, rank[at], "right") - 1
                 sequence[at], offset[at] = bins[k] + rank[at] - ranks[k], offsets[k]
-            yield frame.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+            own = batch.select(columns)
+            return pa.RecordBatch.from_arrays([*own.columns, pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return ranked.select(*columns, "rank").mapInPandas(place, PACKED)
+        return place
+
+    return common.map_batches(ranked.select(*columns, F.col("rank").cast("long").alias("rank")), start, _parse_datatype_string(PACKED))
 
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -77,3 +77,10 @@ def test_every_piece_has_its_place(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_ids_beside_a_null_id_stay_exact(spark):
+    ids = [(1 << 62) + k for k in range(1, 40)]
+    docs = spark.createDataFrame([(x, "word") for x in (None, *ids)], "doc_id long, text string").coalesce(1)
+    got = [r["doc_id"] for r in packing.pack(docs).collect()]
+    assert got.count(None) == 1 and sorted(x for x in got if x is not None) == ids
