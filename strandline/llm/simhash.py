@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from . import common
+from . import common, similar
 from .components import components
 
 SHINGLE, SEED, RADIUS, CUTS = 3, 42, 3, 5
@@ -248,18 +248,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Whole rows: of each component one document, that of the smallest doc_id; of repeated rows one."""
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """Whole rows: of each component of similar texts (similar.py) one document, that of the smallest doc_id; of repeated
+    rows one."""
     common.tune(docs.sparkSession)
-    prints, _ = common.written(fingerprints(docs), "prints")
-    best = roots(prints, radius).groupBy("root").agg(F.min(F.struct("rep", "print")).alias("x"))
-    key, mark = (next(n for n in (f"{x}{'_' * k}" for k in range(99)) if n not in docs.columns) for x in ("key", "print"))
-    chosen = best.select(F.col("x.rep").alias(key), F.col("x.print").alias(mark))
+    best = similar.roots(docs).groupBy("root").agg(F.min(F.struct("rep", "node")).alias("x"))
+    key, mark = (next(n for n in (f"{x}{'_' * k}" for k in range(99)) if n not in docs.columns) for x in ("key", "node"))
+    chosen = best.select(F.col("x.rep").alias(key), F.col("x.node").alias(mark))
 
     def start():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = np.array([fingerprint(x) for x in common.column_of(batch, "text")], np.uint64).view(np.int64)
-            return batch.append_column(mark, pa.array(found))
+            found = [similar.node(x) for x in common.column_of(batch, "text")]
+            return batch.append_column(mark, pa.array(found, pa.int64()))
 
         return step
 
