@@ -50,7 +50,7 @@ SQL = {
     "added": f"""
 SELECT CAST(0 AS BIGINT) AS diff_id, {path_of('l_partkey', True)} AS path,
   CAST((l_partkey % 100) * 30 + 1 + l_suppkey % 40 AS INT) AS line_no, 'x' AS content
-FROM {{lineitem}} WHERE l_partkey % 17 = 0""",
+FROM {{lineitem}}""",
     "methods": """
 SELECT 'pkg' || CAST(p_partkey % 3 AS STRING) || '.T' || CAST(p_partkey % 7 AS STRING) || '.m' || CAST(p_partkey % 40 AS STRING) AS name,
   'dir' || CAST(p_partkey % 20 AS STRING) || '/f.go' AS path, p_partkey AS pos, p_size AS start_line FROM {part}""",
@@ -61,7 +61,7 @@ SELECT DISTINCT 'a.go' AS path, 'go' AS language, 'pkg' || CAST(l_partkey % 4 AS
     WHEN 1 THEN 'm' || CAST(l_partkey % 45 AS STRING)
     ELSE 'pkg1.T' || CAST(l_suppkey % 7 AS STRING) || '.m' || CAST(l_partkey % 40 AS STRING) END AS target,
   'a.go' AS site_path, CAST(l_linenumber AS INT) AS site_line, 'call' AS site_code
-FROM {{lineitem}} WHERE l_partkey % 5 = 0""",
+FROM {{lineitem}}""",
     "urls": """
 SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/', '') ||
   (CASE page_id % 9 WHEN 0 THEN '/test/a.go' WHEN 1 THEN '/x_test.go' WHEN 2 THEN '/src/test/java/B.java' WHEN 3 THEN '/vendor/c.py'
