@@ -1,13 +1,15 @@
 """Secret scans with assignment-aware lexing.
 
-Three base patterns find assigned credentials, access-key ids and long hexadecimal runs anywhere. Besides, texts that
-name something sensitive are lexed as source or configuration: names, string literals, bare values and assignment signs
-give name-literal pairs; names that stand for literals are constants, which are propagated through assignments and
-concatenations; a pair's score is the target's sensitivity times how much the literal looks like a secret. Literals of
-pairs at or above THRESHOLD are spans of kind `literal`. Spans are in code points, end exclusive.
-
-Defined results: null and empty texts have no spans; spans of one kind never overlap; repeated rows are returned each; an
-empty table gives no rows; columns besides doc_id and text are ignored. Texts are scanned whole.
+Three base patterns find assigned credentials, access-key ids and long hexadecimal runs anywhere. Besides, texts whose
+letters hold a sensitive name are lexed as source or configuration (lexing.py), which gives name-literal pairs; names that
+stand for literals are constants, which are propagated through assignments and concatenations; a pair's score is the
+target's sensitivity times how much its value looks like a secret. The literals of pairs at or above THRESHOLD, and those
+of the constants in them, are spans of kind `literal`. Spans are in code points, end exclusive.
+
+Defined results: null and empty texts have no spans; spans of one kind never overlap; a value of more than LONGEST signs is
+none; a value of more than lexing.PARTS literals is scored by the first of them, and all are spans; repeated rows are
+returned each; an empty table gives no rows; columns besides doc_id and text are ignored. Texts are scanned whole, in time
+linear in their length.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common
+from . import common, lexing
 
 KINDS = ("assign", "access", "hex", "literal")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 THRESHOLD = 0.5
+#: A longer value is data, not a secret.
+LONGEST = 2048
 
 # The base patterns, and parts of names by how sensitive they are.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -37,22 +41,10 @@ _NAMES = {
 }
 _HARMLESS = {"name", "field", "label", "url", "uri", "path", "file", "length", "count", "size", "type", "policy", "expiry", "hint", "id"}
 _HOLDERS = re.compile(r"(?i)^(change|replace|your|example|sample|dummy|test|todo|none|null|true|false|undefined|redacted|placeholder|xxx|\*+|<.*>$|\$\{.*\}$|\{\{.*\}\}$|%\w+%$)")
-_SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api_?-?key|access_?-?key|private_?-?key|encryption_?-?key|auth|credential|bearer|connection_?string|signature|salt", re.I)
-
-_LEX = re.compile(
-    r"""
-      (?P<comment>/\*.*?\*/)
-    | (?P<string>[rRbBuUfF]{0,2}(?P<quote>\"\"\"|\'\'\'|"|'|`)(?P<body>(?:\\.|(?!(?P=quote)).)*?)(?P=quote))
-    | (?P<assign>:=|=>|==|!=|<=|>=|[=:])
-    | (?P<plus>\+|\.\.(?!\.)|&(?!&))
-    | (?P<name>[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)
-    | (?P<line>\n)
-    | (?P<space>[^\S\n]+)
-    | (?P<other>.)
-    """,
-    re.X | re.S,
-)
-_BARE = re.compile(r"[^\s\"'`,;{}()\[\]<>]+")
+#: All that a text keeps whose sensitive names are looked for: letters, in lower case.
+_NO_LETTERS = bytes(b for b in range(256) if not 97 <= b <= 122)
+_ROOTS = [n.encode() for n in _NAMES if not any(m in n and m != n for m in _NAMES)]  # every other name holds one of these
+_SPACE = re.compile(r"\s")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -67,70 +59,46 @@ def sensitivity(name: str) -> float:
 
 def plausibility(literal: str) -> float:
     """How much a literal looks like a secret: long enough, no placeholder, not prose, of many different signs."""
-    if len(literal) < LEAST_VALUE or _HOLDERS.match(literal) or any(c.isspace() for c in literal):
+    if not LEAST_VALUE <= len(literal) <= LONGEST or _HOLDERS.match(literal) or _SPACE.search(literal):
         return 0.0
     counts = Counter(literal)
     entropy = -sum(n / len(literal) * math.log2(n / len(literal)) for n in counts.values())
-    kinds = sum(any(test(c) for c in literal) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    kinds = sum(any(map(test, counts)) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
     return min(1.0, 0.35 + entropy / 8 + 0.1 * (kinds - 1)) if len(counts) > 2 else 0.0
 
 
-def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, spans of the literals it is made of) of every assignment whose value is literal or constant."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    out = []
-    tokens = [m for m in _LEX.finditer(text) if m.lastgroup is not None and not m["space"] and not m["comment"]]
-    i, n = 0, len(tokens)
-
-    def value(i: int) -> tuple[str, list[tuple[int, int]], int] | None:
-        """The literal or constant that begins at token i, with what is added to it, and the token after it."""
-        total, spans = "", []
-        while i < n:
-            t = tokens[i]
-            if t["string"]:
-                total += t["body"]
-                spans = [*spans, t.span("body")]
-            elif t["name"] and t["name"] in known:
-                total += known[t["name"]][0]
-                spans = [*spans, *known[t["name"]][1]]
-            else:
-                return None
-            i += 1
-            if i < n and tokens[i]["plus"]:
-                i += 1
-                while i < n and tokens[i]["line"]:
-                    i += 1
-            elif not (i < n and tokens[i]["string"] and t["string"] and tokens[i].start() > t.end()):
-                break  # string literals side by side are one
-        return total, spans, i
-
-    while i < n:
-        t = tokens[i]
-        name = t["name"] or (t["body"] if t["string"] and len(t["body"]) <= 64 else None)
-        j = i + 1
-        if not name:
-            i += 1
-            continue
-        # A type between name and value: `name: str = value`, `String name = value` (the name is next to the sign).
-        if j + 2 < n and tokens[j]["assign"] == ":" and tokens[j + 1]["name"] and tokens[j + 2]["assign"] == "=":
-            j += 2
-        if j < n and tokens[j]["assign"] in ("=", ":", ":=", "=>"):
-            found = value(j + 1)
-            if found is None and j + 1 < n and t["name"]:
-                begin = tokens[j].end()
-                while begin < len(text) and text[begin] in " \t":
-                    begin += 1
-                bare = _BARE.match(text, begin)  # an unquoted value of a configuration file
-                if bare and any(c.isdigit() for c in bare[0]) and not bare[0].startswith(("$", "%")):
-                    end = bare.end() - (len(bare[0]) - len(bare[0].rstrip(".:")))
-                    found = (text[begin:end], [(begin, end)], j + 1)
-            if found is not None:
-                literal, spans, after = found
-                known[name] = (literal, spans)
-                out.append((name, literal, spans))
-                i = max(j + 1, after)
+def names_something(text: str) -> bool:
+    """Whether the text's letters hold a sensitive name. No other text has a sensitive target."""
+    letters = text.encode("utf-8", "surrogatepass").lower().translate(None, _NO_LETTERS)
+    return any(name in letters for name in _ROOTS)
+
+
+def literals(text: str) -> list[tuple[int, int]]:
+    """Spans of the literals that sensitive names stand for; of overlapping ones the first."""
+    inner: list[tuple[int, int]] = []
+    spans: set[tuple[int, int]] = set()
+    for k, region in enumerate([(0, len(text)), None]):
+        for begin, end in [region] if k == 0 else inner:
+            found = lexing.pairs(text, begin, end, inner if k == 0 else None)
+            weight_of = {name: sensitivity(name) for name in {name for name, _ in found}}
+            if not any(weight_of.values()):
                 continue
-        i += 1
+            weights = [weight_of[name] for name, _ in found]
+            held, refs = lexing.resolve(found)
+            known: dict[tuple, float] = {}
+            marked = []
+            for at, (weight, parts) in enumerate(zip(weights, held, strict=True)):
+                if weight and sum(b - a for a, b in parts) <= LONGEST:
+                    if parts not in known:
+                        known[parts] = plausibility("".join([text[a:b] for a, b in parts]))
+                    if weight * known[parts] >= THRESHOLD:
+                        marked.append(at)
+            spans |= lexing.reached(found, refs, marked)
+    out, last = [], 0
+    for a, b in sorted(spans):
+        if a >= last and b > a:
+            out.append((a, b))
+            last = b
     return out
 
 
@@ -141,16 +109,8 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     if "=" in text or ":" in text:
         found += [(*m.span(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= LEAST_VALUE]
-        if _SENSITIVE.search(text):
-            flagged = set()
-            for name, literal, spans in pairs(text):
-                if sensitivity(name) * plausibility(literal) >= THRESHOLD:
-                    flagged.update(spans)
-            last = -1
-            for a, b in sorted(flagged):
-                if a >= last and b > a:
-                    found.append((a, b, "literal"))
-                    last = b
+    if names_something(text):
+        found += [(a, b, "literal") for a, b in literals(text)]
     if "AKIA" in text:
         found += [(*m.span(), "access") for m in _ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
     found += [(*m.span(), "hex") for m in _HEX.finditer(text)]

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,6 +48,57 @@ def test_lexing_follows_constants_and_formats():
     assert literals('auth_token = "abc123" \\\n "DEF456"'.replace("\\\n ", "")) == ["abc123", "DEF456"]
 
 
+FORMS = [
+    ("# don't touch\nauth_key = \"{}\"\n# it's done", ["hX8#kq92jdPq"]), ("It's so:\nDB_PWD={}\nand don't share it", ["pa55w0rdX9"]),
+    ('{{"api key": "{}"}}', ["Zm9vYmFyMTIz"]), ('api__key = "{}"', ["Zm9vYmFyMTIz"]), ("<password>{}</password>", ["hX8kq92jdPq"]),
+    ('setAuthToken("{}")', ["hX8kq92jdPq"]), ('put("client_secret", "{}")', ["hX8kq92jdPq"]), ("DB_PWD={}\n", ["correcthorsebattery"]),
+    ('db_password = LATER\nLATER = "{}"', ["hX8kq92jdPq"]), ("- name: DB_PASSWORD\n  value: {}\n", ["hX8kq92jdPq"]),
+    ('<add key="ApiKey" value="{}"/>', ["Zm9vYmFyMTIz"]), ('auth_key = c = "{}"', ["hX8kq92jdPq"]), ('c["passphrase"] = "{}"', ["hX8kq92jdPq"]),
+    ("x = `a\nDB_PWD={}\n`", ["pa55w0rdX9"]), ('# auth_key = "{}"', ["hX8#kq92jdPq"]), ('api_key: Optional[str] = "{}"', ["Zm9vYmFyMTIz"]),
+    ('token = ("{}"\n   "{}")', ["hX8kq", "92jdPq"]), ("--auth-key={}", ["Zm9v123"]), ('/* auth_key = "{}" */', ["hX8#kq92jdPq"]),
+    ('$cfg = "{}"; $secret = $cfg . "{}";', ["hX8kq92jdPq", "xy"]), ('"' + "x " * 50 + 'password": "{}"', ["hX8kq92jdPq"]),
+]
+
+
+def test_lexing_takes_every_form():
+    for form, values in FORMS:
+        assert literals(form.format(*values)) == values, form
+    assert literals("pwd=correct horse battery x") == [] and literals("token=mytoken;") == []
+    assert literals('A = B\nB = A\nauth_key = A + "hX8kq92jdPq"') == ["hX8kq92jdPq"]
+    assert literals('salt = "' + "aB3$" * 513 + '"') == []
+
+
+def test_forms_in_turn_give_their_literals_and_no_more():
+    rng = random.Random(5)
+    noise = ["x = 1", "It's a dog's life", 'title = "f8K2m0Zq1LpW"', "# isn't", 'print("a", b)', "if a == b: return", "", "5\" by 3'", "```", "a /b/ c"]
+    forms = [f for f in FORMS if "`" not in f[0] and "/*" not in f[0]]
+    for _ in range(200):
+        lines, want = [], []
+        for k in range(rng.randint(1, 12)):
+            if rng.random() < 0.5:
+                form, values = rng.choice(forms)
+                lines.append(form.format(*values).replace("LATER", f"LATER{k}").replace("$cfg", f"$cfg{k}"))
+                want += values
+            else:
+                lines.append(rng.choice(noise))
+        text = "\n".join(lines)
+        assert literals(text) == want, text
+
+
+def test_hostile_texts_take_linear_time():
+    n = 200_000
+    hostile = [
+        'secret = "' + "\\" * n, "salt: " + "/* " * (n // 3), 'auth_key = "hX8kq92jdPq"\n' + "x = x + x\n" * (n // 10), "a=" * (n // 2) + "salt",
+        "'\\" * (n // 2) + " salt=1", '"""\\' * (n // 4) + "salt:", "".join(f"auth{i} = auth{i + 1}\n" for i in range(n // 20)), "salt = (\n\n" * (n // 9),
+        "salt = " + "a + " * (n // 4), "` salt=1 " * (n // 9), "password" + " " * n, "salt:" + "a" * n, "# salt=" * (n // 7), "<salt>" * (n // 6),
+        "".join(f'auth{i} = auth{i - 1} + "q{i}"\n' for i in range(n // 25)),
+    ]
+    for text in hostile:
+        began = time.perf_counter()
+        secrets.scan(text)
+        assert time.perf_counter() - began < 6, text[:40]
+
+
 def test_lexing_leaves_harmless_pairs_alone():
     for text in [
         'password = "changeme"', "password = getenv('DB')", 'token_name = "f8K2m0Zq1LpW"', 'title = "f8K2m0Zq1LpW"',
