@@ -1,13 +1,15 @@
 """Document quality by histogram gradient-boosted trees over statistics of the text.
 
-Statistics of every whole text are computed once and written. At most SAMPLE labelled rows that are not held out
-(documented bound: those with the smallest hashes) reach the driver, which bins each statistic by quantiles and
-grows trees on histograms of gradients. Trees are flattened into arrays of one shape, so scoring walks all documents down
-one level at a time with array operations. Labels, lang, source and doc_id are no inputs.
+Of the labelled rows that are not held out, at most SAMPLE (documented bound: those with the smallest hashes of doc_id and
+label) are chosen from the labels alone; only their texts are described to learn from. The driver bins each statistic by
+quantiles and grows trees on histograms of gradients. Trees are flattened into arrays of one shape, so one pass over all
+documents describes every whole text and walks a batch of them down one level at a time with array operations. Labels,
+lang, source and doc_id are no inputs.
 
 Defined results: null and empty texts have statistics of zero and are scored like others; without labelled rows every
-score is PRIOR; repeated rows are returned each; repeated or null labels count as they stand or not at all; an empty
-table gives no rows; other columns are ignored.
+score is PRIOR, and labels of which none can be sampled raise; repeated rows are returned each; a label counts once for
+each doc_id and value, with the text of the smallest hash where several rows have this doc_id; null labels don't count;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from . import common
 
 SAMPLE, BINS, DEPTH, TREES, RATE, LEAST, RIDGE = 20_000, 64, 4, 120, 0.1, 8.0, 1.0
 THRESHOLD, PRIOR = 0.3, 0.5
-SLICE_BITS = 16
+SLICE_BITS = 12
 
 #: Classes of bytes (fixed values): letters, digits, white space, signs by kind, bytes of other characters.
 _GROUPS = {
@@ -132,46 +134,53 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) ->
     return Trees(base, np.array(features), np.array(cuts), np.array(values))
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out and the statistics of every whole text."""
-
-    def start():
-        return lambda cols: {
-            "doc_id": cols["doc_id"], "held_out": cols["held_out"], "x": [statistics(t) for t in cols["text"]],
-        }
-
-    rows = docs.select("doc_id", common.held_out().alias("held_out"), "text")
-    return common.map_columns(rows, "doc_id long, held_out boolean, x array<double>", start)
-
-
-def learn(described: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees from labelled rows that are not held out. How many rows have which leading SLICE_BITS of a hash tells up to
-    which value of them at most `sample` rows lie; only those leave their tasks, whatever the number of partitions."""
-    marked = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id"), F.col("quality").cast("double").alias("y"))
-    rows = described.where(~F.col("held_out")).join(marked, "doc_id")
-    rows = rows.withColumn("slice", F.shiftrightunsigned(F.xxhash64("doc_id", "y", "x"), 64 - SLICE_BITS))
-    total, last = 0, -1
-    for r in sorted(rows.groupBy("slice").agg(F.count("*").alias("n")).collect()):  # 1 << SLICE_BITS at most
-        total += r["n"]
-        if total > sample:
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """At most `sample` different (doc_id, y), those with the smallest hashes, of labels that are not held out and belong to
+    a document. Counts of hashes by SLICE_BITS bits, then by the next ones within the slice that would be too much, tell up
+    to which hash to go, whatever the number of rows and partitions."""
+    marked = labels.where(F.col("quality").isNotNull() & ~common.held_out()).select("doc_id", F.col("quality").cast("double").alias("y"))
+    marked = marked.distinct().join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows, path = common.written(marked.withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id", "y"), 1)), "labelled")
+    base, width, total = 0, 63, 0
+    while width:
+        step = min(SLICE_BITS, width)
+        width -= step
+        inside = rows.where((F.col("hash") >= base) & (F.shiftright(F.col("hash") - base, width + step) == 0))
+        slices = inside.groupBy(F.shiftright(F.col("hash") - base, width).alias("slice")).agg(F.count("*").alias("n")).collect()  # 1 << SLICE_BITS at most
+        for r in sorted(slices):
+            if total + r["n"] > sample:
+                base += r["slice"] << width
+                break
+            total += r["n"]
+        else:
+            base += 1 << (width + step)
             break
-        last = r["slice"]
-    picked = sorted((tuple(r["x"]), r["y"]) for r in rows.where(F.col("slice") <= last).select("x", "y").collect())
-    x = np.array([r[0] for r in picked], np.float64).reshape(-1, len(STATISTICS))
-    return fit(x, np.array([r[1] for r in picked], np.float64))
+        if 2 * total >= sample:
+            break
+    if not total and not rows.isEmpty():
+        raise ValueError("there are labels, but none of them fits in the sample")
+    return rows.where(F.col("hash") < min(base, (1 << 63) - 1)).select("doc_id", "y")
 
 
-def described(docs: DataFrame) -> DataFrame:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
+    """Trees from a bounded sample of labelled rows that are not held out."""
     common.tune(docs.sparkSession)
-    return common.written(with_statistics(docs), "statistics")[0]
+    picked = sampled(docs, labels, sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # `sample` rows of two numbers
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least")).select("y", "least.text")
+    described = common.map_columns(rows, "y double, x array<double>", lambda: lambda cols: {"y": cols["y"], "x": [statistics(t) for t in cols["text"]]})
+    found = sorted((tuple(r["x"]), r["y"]) for r in described.collect())
+    x = np.array([r[0] for r in found], np.float64).reshape(-1, len(STATISTICS))
+    return fit(x, np.array([r[1] for r in found], np.float64))
 
 
-def classify(rows: DataFrame, trees: Trees) -> DataFrame:
-    """Scores of rows that carry statistics."""
+def classify(docs: DataFrame, trees: Trees) -> DataFrame:
+    """One row a document: doc_id, held_out, score, predicted."""
+    common.tune(docs.sparkSession)
 
     def start():
         def step(cols: dict) -> dict:
-            score = trees.score(np.array(cols["x"], np.float64))
+            score = trees.score(np.array([statistics(t) for t in cols["text"]], np.float64))
             return {
                 "doc_id": cols["doc_id"], "held_out": cols["held_out"], "score": score.tolist(),
                 "predicted": (score >= THRESHOLD).astype(int).tolist(),
@@ -179,16 +188,18 @@ def classify(rows: DataFrame, trees: Trees) -> DataFrame:
 
         return step
 
+    rows = docs.select("doc_id", common.held_out().alias("held_out"), "text")
     return common.map_columns(rows, "doc_id long, held_out boolean, score double, predicted int", start)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = described(common.documents(spark, sf_dir))
-    return classify(rows, learn(rows, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    docs = common.documents(spark, sf_dir)
+    return classify(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def kept(docs: DataFrame, trees: Trees) -> DataFrame:
     """Whole rows of documents that are not rejected."""
+    common.tune(docs.sparkSession)
     return common.where(
         docs, lambda: lambda texts: (trees.score(np.array([statistics(t) for t in texts])) >= THRESHOLD).tolist()
     )

@@ -1,6 +1,8 @@
+import math
 import zlib
 
 import numpy as np
+import pytest
 
 from strandline.llm import language, quality
 
@@ -44,13 +46,70 @@ def test_flat_trees_walk_like_single_ones():
 
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1.0), (None, "", 2.0), (3, "x" * 300_000, 3.0), (3, "a b", 1.0)], "doc_id long, text string, score double")
-    rows = quality.described(docs)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    got = quality.classify(rows, quality.learn(rows, none)).collect()
+    got = quality.classify(docs, quality.learn(docs, none)).collect()
     assert len(got) == 4 and {r["score"] for r in got} == {quality.PRIOR}
     one = spark.createDataFrame([(1, 1, 0), (3, None, 0), (3, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
-    assert all(0 <= r["score"] <= 1 for r in quality.classify(rows, quality.learn(rows, one)).collect())
-    assert quality.classify(quality.described(docs.limit(0)), quality.fit(np.zeros((0, 1)), np.zeros(0))).collect() == []
+    assert all(0 <= r["score"] <= 1 for r in quality.classify(docs, quality.learn(docs, one)).collect())
+    assert quality.classify(docs.limit(0), quality.fit(np.zeros((0, 1)), np.zeros(0))).collect() == []
+
+
+def test_sample_is_filled_whatever_the_number_of_labels(spark, monkeypatch):
+    docs = spark.range(5000).withColumnRenamed("id", "doc_id")
+    labels = docs.withColumn("quality", (docs.doc_id % 2).cast("int")).union(docs.withColumn("quality", (docs.doc_id % 2).cast("int")))
+    given = sum(not is_held(k) for k in range(5000))
+    for bits in (3, 12):
+        monkeypatch.setattr(quality, "SLICE_BITS", bits)
+        for sample in (7, 500, 10**6):
+            got = [r["doc_id"] for r in quality.sampled(docs, labels, sample).collect()]
+            assert len(got) == len(set(got)) and min(sample, given) / 2 <= len(got) <= sample and not any(map(is_held, got))
+    assert quality.sampled(docs, labels.where("doc_id < 0")).collect() == []
+    with pytest.raises(ValueError):
+        quality.sampled(docs, labels, 0)
+
+
+def slow_statistics(text):
+    raw = (text or "").encode()
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    w, many, n = max(len(words), 1), max(len(lines), 1), max(len(raw), 1)
+    out = [sum(b in signs for b in raw) / n for signs in quality._GROUPS.values()]
+    out.append(sum(not any(b in signs for signs in quality._GROUPS.values()) for b in raw) / n)
+    mean = sum(map(len, words)) / w
+    out += [math.log(1 + len(raw)), math.log(1 + len(words)), mean, math.sqrt(sum((len(x) - mean) ** 2 for x in words) / w)]
+    out += [len(set(words)) / w, max((words.count(x) for x in words), default=0) / w]
+    out += [len({tuple(words[k : k + m]) for k in range(len(words) - m + 1)}) / w for m in (2, 3)]
+    out += [sum(x.isupper() for x in words) / w, 1 - sum(x.isalpha() for x in words) / w]
+    out += [math.log(1 + len(lines)), len(set(lines)) / many, sum(len(x) < 40 for x in lines) / many, math.log(1 + len(raw) / many)]
+    out += [sum(x.rstrip()[-1:] == b"." for x in lines) / many, -sum(raw.count(b) / n * math.log2(raw.count(b) / n) for b in set(raw))]
+    return out
+
+
+def test_statistics_are_the_stated_ones():
+    for text in [None, "", " ", "A b  b.\nA b b.\n\n", "É! 12 #x\r\n\ttail", "one two one two one two.\nTHREE 'q' (z)"]:
+        got = quality.statistics(text)
+        assert len(got) == len(quality.STATISTICS) and np.allclose(got, slow_statistics(text)), text
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (300, 4)).astype(float)
+    y = ((x[:, 2] > 5) ^ (rng.random(300) < 0.2)).astype(float)
+    trees = quality.fit(x, y, trees=1, depth=1)
+    p = y.mean()
+
+    def gain(j, cut):
+        left = x[:, j] <= cut
+        g, h = p - y, np.full(300, p * (1 - p))
+        if h[left].sum() < quality.LEAST / 8 or h[~left].sum() < quality.LEAST / 8:
+            return 0
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + quality.RIDGE)
+        return part(left) + part(~left) - part(left | True)
+
+    best = max(gain(j, cut) for j in range(4) for cut in np.unique(x[:, j]))
+    assert np.isclose(gain(trees.feature[0, 0], trees.cut[0, 0]), best)
+    for side in (False, True):
+        own = (x[:, trees.feature[0, 0]] > trees.cut[0, 0]) == side
+        assert np.isclose(trees.leaf[0, int(side)], -quality.RATE * (p - y[own]).sum() / (own.sum() * p * (1 - p) + quality.RIDGE))
 
 
 def test_phrases_are_greedy_longest_matches():

@@ -17,7 +17,7 @@ def test_stages_against_plain_python(spark):
     docs = common.documents(spark, SF)
     given = docs.collect()
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    trees = quality.learn(quality.described(docs), labels)
+    trees = quality.learn(docs, labels)
     want = [r for r in given if trees.score(np.array([quality.statistics(r["text"])]))[0] >= quality.THRESHOLD]
     got = corpus_pipeline.good(spark, docs, SF)
     assert got.columns == KEPT and rows(got) == sorted(map(tuple, want), key=str) and 0 < len(want) < len(given)
