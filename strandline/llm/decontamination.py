@@ -1,30 +1,35 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are sequences of lower-case words. Benchmark items are taken in blocks of at most BLOCK words; each block is held
-against all documents. Words of the block have numbers; a document's words become these numbers, and its windows of SEED
-numbers are joined to the block's windows by their Karp-Rabin hash. Each document and item that share a window are tiled:
-the longest match of words that are in no tile yet, at least SEED long, is marked again and again; running Karp-Rabin
-hashes tell whether there is a match of a given length, and halving the range of lengths finds the longest. Tiles may come in any order, so reordered passages count. A document is reported
-with an item whose words its tiles cover to COVERAGE or more; items of fewer than SEED words must be there whole.
-
-Defined results: null and empty texts and items match nothing; repeated rows are reported each; of tied matches the first
-in the document, then in the item, is marked; without documents or items there are no rows; other columns are ignored.
+Texts are sequences of lower-case words, words are numbers (hashes). Seeds are Karp-Rabin hashes of the windows of SEED words;
+items of fewer words are one seed of their own size. A bit table of all seeds of the benchmark (at most 1 << MOST_BITS bits,
+whatever its size) lets one pass over the documents keep only those with such windows, cut down to the words in them. Their
+seeds are joined to the benchmark's, which gives the pairs of text and item that share one. Each pair is tiled: the longest
+match of words that are in no tile yet, at least SEED long, is marked again and again; running Karp-Rabin hashes tell whether
+there is a match of a given length, and halving the range of lengths finds the longest. Tiles may come in any order, so
+reordered passages count. A document is reported with an item whose words its tiles cover to COVERAGE or more; items of fewer
+than SEED words must be there whole. Equal texts are tiled once.
+
+Defined results: null and empty texts and items match nothing; repeated rows, of documents or items, are reported each; of
+tied matches the first in the document, then in the item, is marked; without documents or items there are no rows; other
+columns are ignored. Memory for a pair grows with its words, not with its matches.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 SEED, COVERAGE = 5, 0.8
-#: Words of the benchmark items that one pass over the documents is held against.
-BLOCK = 2_000_000
+#: Bits of the seeds' bit table (as powers of two), bits for each seed, and bits of the table in one row.
+LEAST_BITS, MOST_BITS, PER_SEED, CHUNK = 16, 27, 32, 16
+#: Words whose numbers a task remembers.
+REMEMBERED = 1 << 19
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd: hashes are polynomials modulo 2^64
 
@@ -33,16 +38,31 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+class Numbers(dict):
+    """From word to its number: 63 bits of XXH64."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
+        return out
+
+    def of(self, text: str | None) -> np.ndarray:
+        return np.array([self[w] for w in words(text)], np.int64)
+
+
 def windows(ids: np.ndarray, size: int) -> np.ndarray:
     """Karp-Rabin hashes of all windows of `size` numbers."""
     n = len(ids) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     spread = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, size, np.uint64)
     for k in range(size):
         out = out * _BASE + spread[k : k + n]
-    return out
+    return out ^ out >> np.uint64(31)
 
 
 def _rolling(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,35 +94,42 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[in
     in_doc, in_item = doc < 0, item < 0
     rolled_doc, rolled_item = _rolling(doc), _rolling(item)
 
-    def matches(size: int) -> list[tuple[int, int]]:
-        """Places in doc and item where windows of `size` words in no tile have the same hash."""
+    def shared(size: int) -> tuple[np.ndarray, ...]:
+        """Free windows of `size` words: starts in doc whose hashes the item has, these hashes, starts in item, their hashes."""
         d, t = _free(in_doc, size), _free(in_item, size)
-        if not len(d) or not len(t):
-            return []
         hd, ht = _at(rolled_doc, d, size), _at(rolled_item, t, size)
         hit = np.isin(hd, ht)
-        if not hit.any():
-            return []
-        places: dict[int, list[int]] = defaultdict(list)
-        for h, b in zip(ht.tolist(), t.tolist(), strict=True):
-            places[h].append(b)
-        return [(a, b) for a, h in zip(d[hit].tolist(), hd[hit].tolist(), strict=True) for b in places[h]]
+        return d[hit], hd[hit], t, ht
 
     most = min(len(doc), len(item))
     while most >= least:
-        found, low, high = [], least, most  # the longest size with a match: where one exists, a shorter one does, too
+        low, high = least, most  # the longest size with a match: where one exists, a shorter one does, too
         while low <= high:
             size = (low + high) // 2
-            if got := matches(size):
-                found, low = got, size + 1
+            if len(shared(size)[0]):
+                low = size + 1
             else:
                 high = size - 1
-        if not found:
+        if high < least:
             break
         most = high
+        d, hd, t, ht = shared(most)
+        order = np.argsort(ht, kind="stable")
+        t, ht = t[order], ht[order]
+        first = {h: k for k, h in reversed(list(enumerate(ht.tolist())))}  # of each hash the next place to try
         marked = False
-        for a, b in found:
-            if not (in_doc[a : a + most].any() or in_item[b : b + most].any()) and (doc[a : a + most] == item[b : b + most]).all():
+        for a, h in zip(d.tolist(), hd.tolist(), strict=True):
+            if in_doc[a] or in_doc[a + most - 1]:  # tiles of this size only, so an end lies in one that overlaps
+                continue
+            k = first[h]
+            while k < len(t) and ht[k] == h:
+                b = int(t[k])
+                if not (in_item[b] or in_item[b + most - 1]):
+                    break
+                k += 1
+            first[h] = k
+            if k < len(t) and ht[k] == h and (doc[a : a + most] == item[t[k] : t[k] + most]).all():
+                b = int(t[k])
                 in_doc[a : a + most] = in_item[b : b + most] = True
                 out.append((a, b, most))
                 marked = True
@@ -110,107 +137,172 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[in
     return out
 
 
-class Block:
-    """Items' words as numbers, and where each of their windows is."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], seed: int = SEED):
-        self.seed, self.number = seed, {}
-        self.ids = [i for i, _ in items]
-        self.items = [np.array([self.number.setdefault(w, len(self.number)) for w in own], np.int64) for _, own in items]
-        hashes = [windows(x, min(seed, len(x))) for x in self.items]
-        owners = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
-        sizes = np.repeat([min(seed, len(x)) for x in self.items], [len(h) for h in hashes])
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.tables = {}
-        for size in np.unique(sizes).tolist():
-            own = sizes == size
-            order = np.argsort(flat[own], kind="stable")
-            self.tables[size] = (flat[own][order], owners[own][order])
-
-    def matches(self, text: str | None, coverage: float) -> list[tuple[int, float, int, int]]:
-        """(item, coverage, words covered, tiles) of the items that the text covers enough."""
-        number = self.number
-        doc = np.array([number.get(w, -1) for w in words(text)], np.int64)
-        near: set[int] = set()
-        for size, (hashes, owners) in self.tables.items():
-            if not len(doc) or len(doc) < size:
-                continue
-            runs = np.concatenate([[0], np.cumsum(doc < 0)])
-            own = np.unique(windows(doc, size)[runs[size:] == runs[:-size]])
-            a, b = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
-            for x, y in zip(a[b > a].tolist(), b[b > a].tolist(), strict=True):
-                near.update(owners[x:y].tolist())
-        out = []
-        for k in sorted(near):
-            item = self.items[k]
-            found = tiles(*self._around(doc, item), min(self.seed, len(item)))
-            covered = sum(n for _, _, n in found)
-            if covered >= coverage * len(item) and (len(item) >= self.seed or covered == len(item)):
-                out.append((self.ids[k], covered / len(item), covered, len(found)))
-        return out
-
-    def _around(self, doc: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The document without the words that stand in no window of the item; gaps stay gaps."""
-        size = min(self.seed, len(item))
-        hit = np.isin(windows(doc, size), windows(item, size))
-        keep = np.zeros(len(doc) + 1, np.int64)
+def around(ids: np.ndarray, hits: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """The numbers that stand in a window of `hits` (size, whether each window counts); -1 for each gap."""
+    keep = np.zeros(len(ids) + 1, np.int64)
+    for size, hit in hits:
         at = np.flatnonzero(hit)
         np.add.at(keep, at, 1)
         np.add.at(keep, at + size, -1)
-        inside = np.cumsum(keep[:-1]) > 0
-        gap = inside.copy()
-        gap[1:] |= inside[:-1]  # one number that matches nothing after each stretch
-        return np.where(inside, doc, -1)[gap], item
+    inside = np.cumsum(keep[:-1]) > 0
+    gap = inside.copy()
+    gap[1:] |= inside[:-1]  # one number that matches nothing after each stretch
+    return np.where(inside, ids, -1)[gap]
 
 
-FOUND = "doc_id long, item_id long, coverage double, covered_words long, tiles long"
+def covered(doc: np.ndarray, item: np.ndarray, coverage: float) -> tuple[float, int, int] | None:
+    """(share, words, tiles) of the item that the document covers, if that is enough."""
+    size = min(SEED, len(item))
+    found = tiles(around(doc, [(size, np.isin(windows(doc, size), windows(item, size)))]), item, size)
+    n = sum(k for *_, k in found)
+    return (n / len(item), n, len(found)) if n >= coverage * len(item) and (len(item) >= SEED or n == len(item)) else None
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK):
-    """Items in blocks of at most `limit` words (one item at least), from an ordered stream to the driver."""
-    held, total = [], 0
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id", "text")
-    for r in rows.toLocalIterator():
-        own = words(r["text"])
-        if own:
-            if held and total + len(own) > limit:
-                yield Block(held)
-                held, total = [], 0
-            held.append((r["item_id"], own))
-            total += len(own)
-    if held:
-        yield Block(held)
+def _signed(x: np.ndarray) -> list[int]:
+    return x.view(np.int64).tolist()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, limit: int = BLOCK) -> DataFrame:
-    """A row for each document and benchmark item that it covers enough: doc_id, item_id, coverage, covered_words, tiles."""
-    spark = docs.sparkSession
-    common.tune(spark)
-    out = None
-    for block in blocks(benchmark, limit):
-        shared = spark.sparkContext.broadcast(block)  # `limit` words
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """Different items: number (any), item_id, copies, words as numbers (bytes), and their different seeds."""
 
-        def start(shared=shared):
-            def step(cols: dict) -> dict | None:
-                rows = [(doc, *m) for doc, text in zip(cols["doc_id"], cols["text"], strict=True) for m in shared.value.matches(text, coverage)]
-                names = [f.split()[0] for f in FOUND.split(", ")]
-                return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else None
+    def start():
+        number, seen, part = Numbers(), [0], TaskContext.get().partitionId()
 
-            return step
+        def step(cols: dict) -> dict:
+            own = [number.of(t) for t in cols["text"]]
+            seen[0] += len(own)
+            return {
+                "item": [part << 40 | k for k in range(seen[0] - len(own), seen[0])], "item_id": cols["item_id"], "copies": cols["copies"],
+                "item_words": [x.tobytes() for x in own], "size": [min(SEED, len(x)) for x in own],
+                "seeds": [_signed(np.unique(windows(x, min(SEED, len(x))))) if len(x) else [] for x in own],
+            }
 
-        made = common.map_columns(docs.select("doc_id", "text"), FOUND, start)
-        out = made if out is None else out.unionByName(made)
-    return out if out is not None else spark.createDataFrame([], FOUND)
+        return step
 
+    rows = benchmark.where(F.col("text").isNotNull()).groupBy("item_id", "text").agg(F.count("*").alias("copies"))
+    made = common.map_columns(rows, "item long, item_id long, copies long, item_words binary, size int, seeds array<long>", start)
+    return common.written(made.where("size > 0"), "items")[0]
 
-def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, limit: int = BLOCK) -> DataFrame:
-    """Whole rows of documents that cover no item enough."""
-    common.tune(docs.sparkSession)
-    for block in blocks(benchmark, limit):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        docs = common.where(docs, lambda shared=shared: lambda texts: [not shared.value.matches(t, coverage) for t in texts])
+
+def seed_table(seeds: DataFrame) -> tuple[int, np.ndarray]:
+    """Bits (as a power of two) and the bit table of the seeds' leading bits, of at most 1 << MOST_BITS bits."""
+    bits = min(max((PER_SEED * seeds.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    place = F.shiftrightunsigned("seed", 64 - bits)
+    rows = seeds.select(F.shiftright(place, CHUNK).cast("int").alias("chunk"), F.pmod(place, F.lit(1 << CHUNK)).cast("int").alias("bit"))
+
+    def start():
+        def step(cols: dict) -> dict:
+            out = []
+            for own in cols["own"]:
+                flags = np.zeros(1 << CHUNK, np.uint8)
+                flags[own] = 1
+                out.append(np.packbits(flags).tobytes())
+            return {"chunk": cols["chunk"], "flags": out}
+
+        return step
+
+    chunks = common.map_columns(rows.groupBy("chunk").agg(F.collect_set("bit").alias("own")), "chunk int, flags binary", start)  # a set holds 1 << CHUNK at most
+    table = np.zeros((1 << (bits - CHUNK), 1 << (CHUNK - 3)), np.uint8)
+    for r in chunks.collect():
+        table[r["chunk"]] = np.frombuffer(r["flags"], np.uint8)
+    return bits, table.ravel()
+
+
+KEYS = ("k1", "k2")
+_KEYED = (F.xxhash64, lambda c: F.xxhash64(F.lit(1), c))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """With 128 bits that stand for the text."""
+    for name, make in zip(KEYS, _KEYED, strict=True):
+        docs = docs.withColumn(name, make(F.col("text")))
     return docs
 
 
+def reduced(docs: DataFrame, sizes: list[int], bits: int, table: np.ndarray) -> DataFrame:
+    """Documents with a window that may be a seed: doc_id, the text's key, the words in such windows, and their hashes."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # 1 << (MOST_BITS - 3) bytes at most
+
+    def start():
+        number, flags, shift = Numbers(), shared.value, np.uint64(64 - bits)
+
+        def step(cols: dict) -> dict | None:
+            out: dict = {"doc_id": [], "k1": [], "k2": [], "words": [], "seeds": []}
+            for doc, k1, k2, text in zip(*(cols[c] for c in ("doc_id", *KEYS, "text")), strict=True):
+                ids = number.of(text)
+                hits, found = [], []
+                for size in sizes:
+                    hashes = windows(ids, size)
+                    place = (hashes >> shift).astype(np.int64)
+                    hit = (flags[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+                    if hit.any():
+                        hits.append((size, hit))
+                        found.append(hashes[hit])
+                if found:
+                    for name, x in zip(out, (doc, k1, k2, around(ids, hits).tobytes(), _signed(np.unique(np.concatenate(found)))), strict=True):
+                        out[name].append(x)
+            return out if out["doc_id"] else None
+
+        return step
+
+    rows = keyed(docs.select("doc_id", "text"))
+    made = common.map_columns(rows, "doc_id long, k1 long, k2 long, words binary, seeds array<long>", start)
+    return common.written(made, "reduced")[0]
+
+
+PAIR = "k1 long, k2 long, item_id long, copies long, coverage double, covered_words long, tiles long"
+
+
+def tainted(docs: DataFrame, benchmark: DataFrame, coverage: float) -> tuple[DataFrame, DataFrame] | None:
+    """The reduced documents, and the pairs of a text's key and an item that it covers enough; both written."""
+    items = benchmark_items(benchmark)
+    seeds, _ = common.written(items.select("item", F.explode("seeds").alias("seed")), "seeds")
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # SEED at most
+    if not sizes:
+        return None
+    rows = reduced(docs, sizes, *seed_table(seeds))
+    texts, _ = common.written(rows.dropDuplicates(KEYS).drop("doc_id"), "texts")
+    near = texts.select(*KEYS, F.explode("seeds").alias("seed")).join(seeds, "seed").select(*KEYS, "item").distinct()
+    both = near.join(texts.select(*KEYS, "words"), [*KEYS]).join(items.drop("seeds", "size"), "item")
+
+    def start():
+        def step(cols: dict) -> dict | None:
+            found = []
+            for k1, k2, item_id, copies, own, item in zip(*(cols[c] for c in (*KEYS, "item_id", "copies", "words", "item_words")), strict=True):
+                got = covered(np.frombuffer(own, np.int64), np.frombuffer(item, np.int64), coverage)
+                if got:
+                    found.append((k1, k2, item_id, copies, *got))
+            names = [f.split()[0] for f in PAIR.split(", ")]
+            return dict(zip(names, map(list, zip(*found, strict=True)), strict=True)) if found else None
+
+        return step
+
+    pairs, _ = common.written(common.map_columns(both.select(*KEYS, "item_id", "copies", "words", "item_words"), PAIR, start), "pairs")
+    return rows, pairs
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """A row for each document and benchmark item that it covers enough: doc_id, item_id, coverage, covered_words, tiles."""
+    common.tune(docs.sparkSession)
+    found = tainted(docs, benchmark, coverage)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double, covered_words long, tiles long")
+    rows, pairs = found
+    each = pairs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select("doc_id", *KEYS).join(each, [*KEYS]).select("doc_id", "item_id", "coverage", "covered_words", "tiles")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """Whole rows of documents that cover no item enough. The keys of texts that go are a written table, so Spark knows its
+    size when it chooses how to join."""
+    common.tune(docs.sparkSession)
+    found = tainted(docs, benchmark, coverage)
+    if found is None:
+        return docs
+    gone, _ = common.written(found[1].select(*KEYS).distinct(), "tainted")
+    same = [make(docs["text"]) == gone[name] for name, make in zip(KEYS, _KEYED, strict=True)]
+    return docs.join(gone, same, "left_anti")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
