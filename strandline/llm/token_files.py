@@ -1,13 +1,14 @@
 """Token ids in files: canonical, length-limited Huffman codes from global counts, in blocks that decode alone.
 
-A file is a Parquet part whose rows are blocks, in ascending doc_id. A block holds the code words of whole documents,
-its documents' ids and lengths, and the bit offset of every CHECKPOINT-th id, from which a reader can start. Decoding
-looks LIMIT bits up in one table and runs all checkpoints of a batch of blocks in step. The code book (a length for each
-id, from which the canonical code follows) is a table beside the blocks.
-
-Defined results: null and empty texts hold the end id alone; rows of equal doc_id stand together, ordered by their ids'
-checksum, each counted in `start`; a null doc_id comes first; an empty table gives no blocks and no rows; columns besides
-doc_id and text are ignored.
+A file is a Parquet part of about FILE ids whose rows are blocks, in ascending doc_id. A block holds the code words of whole
+documents, its documents' ids and lengths, and the bit offset of every CHECKPOINT-th id, from which a reader can start.
+Decoding looks as many bits as the longest code word has up in one table and runs all checkpoints of a batch of blocks in
+step. The code book (a length for each id, from which the canonical code follows) is a table beside the blocks. Code words
+have at most LIMIT bits, or one more than it takes to number the ids in use if that is more.
+
+Defined results: null and empty texts hold the end id alone; rows of equal doc_id stand together, ordered by a hash of their
+ids (so the order depends on what they hold, not on how the input lies), each counted in `start`; a null doc_id comes first;
+an empty table gives no blocks and no rows; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +25,19 @@ from . import common, tokens
 END_ID = 2
 #: Ids between two bit offsets; ids in a block, about; bits of the longest code word; blocks that are decoded together.
 CHECKPOINT, BLOCK, LIMIT, TOGETHER = 256, 1 << 16, 16, 16
+#: Ids in a file, about, where that gives more files than there are cores.
+FILE = 1 << 26
 
-CODED = "doc_id long, n_tokens long, payload binary, bits binary, salt int"
+CODED = "doc_id long, n_tokens long, payload binary, bits binary, content long, salt int"
 BLOCKS = "part int, block int, start long, doc_ids binary, nulls binary, n_tokens binary, payload binary, bytes binary, marks binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def longest(used: int) -> int:
+    """Bits that a code word of `used` ids may have."""
+    return max(LIMIT, used.bit_length() + 1)
+
+
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Code word lengths of at most `limit` bits with the least total, by package-merge. Ids without a count get 0."""
     used = np.flatnonzero(counts)
@@ -94,10 +102,11 @@ def encode_bits(runs: list[np.ndarray], codes: np.ndarray, lengths: np.ndarray)
     room = (total + 7) // 8
     base = 8 * (np.cumsum(room) - room)
     at = end[:-1] + np.repeat(base - end[first[:-1]], n)
-    word = (codes << (24 - lengths.astype(np.uint32)))[ids] >> (at & 7).astype(np.uint32)
-    byte, m = at >> 3, int(room.sum()) + 3
+    wide = 24 if lengths.max(initial=0) <= 17 else 32  # a code word begins within a byte, so it may have 7 bits less
+    word = (codes << (wide - lengths.astype(np.uint32)))[ids] >> (at & 7).astype(np.uint32)
+    byte, m = at >> 3, int(room.sum()) + wide // 8
     out = np.zeros(m, np.int64)
-    for k, shift in enumerate((16, 8, 0)):  # a code word touches three bytes at most; bits never overlap, so sums serve
+    for k, shift in enumerate(range(wide - 8, -1, -8)):  # bits never overlap, so sums serve
         out += np.bincount(byte + k, weights=(word >> shift) & 0xFF, minlength=m).astype(np.int64)
     raw = out.astype(np.uint8).tobytes()
     return [
@@ -124,6 +133,14 @@ def decode_bits(data: np.ndarray, marks: np.ndarray, counts: np.ndarray, table:
     return (out >> np.uint32(5)).T[back][np.arange(CHECKPOINT)[None, :] < counts[:, None]]
 
 
+def _content(ids: np.ndarray) -> int:
+    """XXH64 of the ids, as a signed long."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(ids.astype("<u4").tobytes())
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _runs(n_tokens: np.ndarray) -> np.ndarray:
     """Ids in each run between bit offsets: full ones, then the rest, for each document."""
     runs = -(-n_tokens // CHECKPOINT)
@@ -150,13 +167,13 @@ def write(docs: DataFrame, end_id: int = END_ID, vocabulary: str | None = None,
             return {
                 "doc_id": cols["doc_id"], "n_tokens": [len(x) for x in made],
                 "ids": [x.astype("<u2" if small else "<u4").tobytes() for x in made],
-                "salt": [k & 0x7FFFFFFF for k in range(seen[0] - len(made), seen[0])],
+                "content": [_content(x) for x in made], "salt": [k & 0x7FFFFFFF for k in range(seen[0] - len(made), seen[0])],
             }
 
         return step
 
     ids, ids_path = common.written(
-        common.map_columns(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids binary, salt int", ids_of), "ids"
+        common.map_columns(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids binary, content long, salt int", ids_of), "ids"
     )
 
     def unpack(raw: bytes, n: int) -> np.ndarray:
@@ -183,7 +200,7 @@ def write(docs: DataFrame, end_id: int = END_ID, vocabulary: str | None = None,
     counts = np.zeros(max((r["id"] for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
-    lengths = code_lengths(counts)
+    lengths = code_lengths(counts, longest(len(rows)))
     book = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(book, "id int, bits int").coalesce(1).write.parquet(f"{out}/book")
     shared = spark.sparkContext.broadcast((canonical(lengths), lengths))  # five bytes an id of the vocabulary
@@ -197,7 +214,7 @@ def write(docs: DataFrame, end_id: int = END_ID, vocabulary: str | None = None,
                 made += encode_bits(runs[k : k + 64], codes, lengths)
             return {
                 "doc_id": cols["doc_id"], "n_tokens": cols["n_tokens"], "payload": [x for x, _ in made],
-                "bits": [np.diff(x, prepend=0).astype("<u2").tobytes() for _, x in made], "salt": cols["salt"],
+                "bits": [np.diff(x, prepend=0).astype("<u2").tobytes() for _, x in made], "content": cols["content"], "salt": cols["salt"],
             }
 
         return step
@@ -238,11 +255,10 @@ def write(docs: DataFrame, end_id: int = END_ID, vocabulary: str | None = None,
         step.last = lambda: columns(cut())
         return step
 
-    # Ranges over the id and then a row's number in its task: equal ids can fill several parts.
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = coded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("salt")).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "salt"
-    )
+    # Ranges over the id, its content and then a row's number in its task: rows alike in both can fill several parts.
+    parts = max(spark.sparkContext.defaultParallelism, -(-int(counts.sum()) // FILE))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("content"), F.col("salt")]
+    ordered = coded.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     common.map_columns(ordered, BLOCKS, block).write.option("compression", "none").parquet(f"{out}/blocks")
     common.removed(spark, coded_path)
     return out
@@ -263,7 +279,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     shared = spark.sparkContext.broadcast(book)
 
     def start():
-        table = decode_table(shared.value)
+        limit = max(1, int(shared.value.max(initial=0)))
+        table = decode_table(shared.value, limit)
 
         def step(cols: dict) -> dict:
             out: dict = {k: [] for k in ("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)}
@@ -278,7 +295,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 sums = np.cumsum(marks)
                 head = np.searchsorted(of, np.arange(len(n)))
                 marks = sums - sums[head][of] + marks[head][of] + 8 * (np.cumsum(size) - size)[of]
-                ids = decode_bits(np.frombuffer(b"".join(cols["payload"][some]), np.uint8), marks, _runs(n), table).astype("<u4")
+                ids = decode_bits(np.frombuffer(b"".join(cols["payload"][some]), np.uint8), marks, _runs(n), table, limit).astype("<u4")
                 raw, ends = ids.tobytes(), np.cumsum(n)
                 begins = ends - n
                 nulls, doc_ids = (b"".join(cols[c][some]) for c in ("nulls", "doc_ids"))

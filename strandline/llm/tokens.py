@@ -3,12 +3,14 @@
 A byte-level BPE cuts a text into pre-tokens (runs of letters, of digits, of other signs, each with at most one space
 before it, contractions, and white space) and merges bytes within each alone. The cuts are found here for a whole batch
 of texts with array operations; the library's model then encodes each pre-token that the worker has not met lately.
-Texts with an apostrophe may hold contractions: the library's own pre-tokenizer cuts those.
+Texts with an apostrophe may hold contractions: the library's own pre-tokenizer cuts those. A text that holds the string of
+an added token (an end-of-text mark, say) is encoded by the library whole, which gives that token's own id.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from array import array
 from functools import cache
@@ -86,13 +88,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.known = _PreTokens(self.tokenizer.model)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out, plain = [b""] * len(texts), []
         for i, text in enumerate(texts):
-            if text and "'" in text:
+            if text and self.added is not None and self.added.search(text):
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            elif text and "'" in text:
                 spans = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
                 out[i] = b"".join([self.known[text[s:e]] for _, (s, e) in spans])
             elif text:

@@ -9,9 +9,7 @@ from strandline.llm import token_files, tokens
 
 
 def plain():
-    tokenizer = Tokenizer.from_file(tokens.vocabulary())
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(tokens.vocabulary())
 
 
 TEXTS = [
@@ -29,6 +27,11 @@ def test_encoder_gives_the_librarys_ids():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_added_tokens_have_their_own_id():
+    ids = np.frombuffer(tokens.Encoder(tokens.vocabulary())(["x <|endoftext|> y"])[0], "<u4").tolist()
+    assert ids == plain().encode("x <|endoftext|> y", add_special_tokens=False).ids and 50256 in ids
+
+
 def test_code_lengths_are_huffmans_where_the_limit_allows():
     rng = np.random.default_rng(1)
     counts = rng.integers(0, 1000, 200)
@@ -81,6 +84,30 @@ def test_files_hold_every_id_in_order(spark):
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["ids"]) for r in got) == want
 
 
+def test_order_of_equal_ids_is_that_of_their_content(spark):
+    rows = [(7, t) for t in ("one", "two words here", "a b c d e f", "one", "", None)] + [(None, "x y"), (None, "z")]
+    seen = set()
+    for parts, turned in ((1, False), (1, True), (5, False)):
+        docs = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").repartition(parts)
+        got = token_files.read(spark, token_files.write(docs)).collect()
+        seen.add(tuple(sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in got)))
+    assert len(seen) == 1
+
+
+def test_more_ids_than_sixteen_bits_number():
+    rng = np.random.default_rng(6)
+    counts = rng.integers(1, 1000, 150_000)
+    lengths = token_files.code_lengths(counts, token_files.longest(len(counts)))
+    limit, codes = int(lengths.max()), token_files.canonical(lengths)
+    runs = [rng.integers(0, 150_000, n).astype(np.uint32) for n in (1, 256, 700)]
+    made = token_files.encode_bits(runs, codes, lengths)
+    n, size = np.array([len(r) for r in runs]), np.array([len(raw) for raw, _ in made])
+    starts = np.concatenate([m + 8 * b for (_, m), b in zip(made, np.cumsum(size) - size)])
+    data = np.frombuffer(b"".join(raw for raw, _ in made), np.uint8)
+    got = token_files.decode_bits(data, starts, token_files._runs(n), token_files.decode_table(lengths, limit), limit)
+    assert limit <= 19 and got.tolist() == np.concatenate(runs).tolist()
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.read(spark, token_files.write(docs)).collect() == []
