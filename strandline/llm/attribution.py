@@ -1,18 +1,20 @@
-"""Token counts of sections, by the offsets of tokens of the whole document.
+"""Token counts of sections or fields, by the offsets of tokens of the whole document.
 
 A document is encoded once. Each token's place follows from the bytes of the tokens before it; sections are the lines of
-the text (a section holds its line and the line feed after it), so they cover the text without gaps. Tokens are joined to
+the text (a section holds its line and the line feed after it), or the document's fields, joined by a separator that
+belongs to the field before it. Either way they cover the text without gaps. Tokens are joined to
 sections by interval: a token inside one section counts there; one that crosses a boundary is allocated by `rule`:
 `start` to the section of its first byte, `most` to the section that holds most of its bytes (the first of equals).
 
 Defined results: null and empty texts have one section without tokens; a text's trailing line feed opens no section;
-repeated rows are counted each; an empty table gives no rows; columns besides doc_id and text are ignored.
+a null field is empty; repeated rows are counted each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common, tokens
 
@@ -45,8 +47,8 @@ def allocate(widths: np.ndarray, edges: np.ndarray, rule: str) -> tuple[np.ndarr
     return np.bincount(owner, minlength=n), np.bincount(owner[across], minlength=n)
 
 
-def section_tokens(docs: DataFrame, rule: str = "most", vocabulary: str | None = None) -> DataFrame:
-    """One row a section: its byte span, its tokens, and those of them that cross a boundary."""
+def _counted(docs: DataFrame, columns: list[str], split, rule: str, vocabulary: str | None) -> DataFrame:
+    """`split` gives, from the values of a row's columns, the whole text and the edges of its sections."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     path = vocabulary or tokens.vocabulary()
@@ -59,8 +61,8 @@ def section_tokens(docs: DataFrame, rule: str = "most", vocabulary: str | None =
         def step(cols: dict) -> dict:
             parts: list[list[np.ndarray]] = [[], [], [], [], []]
             docs_of = []
-            for doc, text, raw in zip(cols["doc_id"], cols["text"], encode(cols["text"]), strict=True):
-                edges = sections(text)
+            made = [split(*x) for x in zip(*(cols[f"c{k}"] for k in range(len(columns))), strict=True)]
+            for doc, (_, edges), raw in zip(cols["doc_id"], made, encode([text for text, _ in made]), strict=True):
                 counts, crossing = allocate(widths[np.frombuffer(raw, "<u4")], edges, rule)
                 docs_of += [doc] * len(counts)
                 for into, x in zip(parts, (np.arange(len(counts)), edges[:-1], edges[1:], counts, crossing), strict=True):
@@ -70,7 +72,23 @@ def section_tokens(docs: DataFrame, rule: str = "most", vocabulary: str | None =
 
         return step
 
-    return common.map_columns(docs.select("doc_id", "text"), COUNTED, start)
+    return common.map_columns(docs.select("doc_id", *(F.col(c).alias(f"c{k}") for k, c in enumerate(columns))), COUNTED, start)
+
+
+def section_tokens(docs: DataFrame, rule: str = "most", vocabulary: str | None = None) -> DataFrame:
+    """One row a section: its byte span, its tokens, and those of them that cross a boundary."""
+    return _counted(docs, ["text"], lambda text: (text, sections(text)), rule, vocabulary)
+
+
+def field_tokens(docs: DataFrame, fields: list[str], separator: str = "\n", rule: str = "most", vocabulary: str | None = None) -> DataFrame:
+    """One row a field of each document, whose text is the fields in turn: `field`, its byte span, tokens and crossing ones."""
+
+    def split(*values: str | None) -> tuple[str, np.ndarray]:
+        own = [(x or "") + separator * (k < len(values) - 1) for k, x in enumerate(values)]
+        return "".join(own), np.cumsum([0, *(len(x.encode("utf-8", "surrogatepass")) for x in own)])
+
+    made = _counted(docs, fields, split, rule, vocabulary)
+    return made.select("doc_id", F.element_at(F.array(*map(F.lit, fields)), F.col("section") + 1).alias("field"), *made.columns[2:])
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

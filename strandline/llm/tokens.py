@@ -132,11 +132,13 @@ class Encoder:
         return [b"".join(ids[s:e]) for s, e in zip(owners, owners[1:], strict=False)]
 
     def byte_lengths(self) -> np.ndarray:
-        """UTF-8 bytes of each id: a byte-level token has one sign a byte."""
+        """UTF-8 bytes of each id: a byte-level token has one sign a byte, an added token is plain text."""
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         out = np.zeros(max(vocab.values(), default=-1) + 1, np.int64)
         for token, i in vocab.items():
             out[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            out[i] = len(token.content.encode())
         return out
 
 
