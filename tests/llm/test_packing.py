@@ -1,9 +1,12 @@
+import itertools
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
+from tokenizers import Tokenizer
 
-from strandline.llm import packing
+from strandline.llm import packing, tokens
 
 
 def plain_best_fit(lengths, capacity):
@@ -53,6 +56,48 @@ def test_search_beats_best_fit_where_it_can(spark):
     assert sum(best.values()) == -(-sum(x * n for x, n in counts.items()) // 14)
 
 
+def test_filling_and_settling_keep_every_piece():
+    rng = random.Random(4)
+    for _ in range(60):
+        counts = Counter(rng.randint(1, 100) for _ in range(rng.randint(1, 300)))
+        assert whole(packing.fill(list(counts.elements()), 100), counts, 100)
+        first = packing.best_fit(counts, 100)
+        settled = packing.settle(first, 100, rng)
+        assert whole(settled, counts, 100) and packing.score(settled, 100) <= packing.score(first, 100)
+
+
+def test_bound_is_below_every_plan():
+    rng = random.Random(8)
+    for _ in range(200):
+        lengths = [rng.randint(1, 12) for _ in range(rng.randint(1, 7))]
+        best = min(len({*bins}) for bins in itertools.product(range(len(lengths)), repeat=len(lengths)) if all(
+            sum(x for x, b in zip(lengths, bins) if b == k) <= 12 for k in {*bins})) if len(lengths) < 6 else len(plain_best_fit(lengths, 12))
+        assert -(-sum(lengths) // 12) <= packing.bound(Counter(lengths), 12) <= best
+
+
+def test_search_beats_best_fit_on_real_lengths(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pieces(docs).groupBy("length").count().collect()
+    counts = {r["length"]: r["count"] for r in rows if r["length"] < packing.CAPACITY}
+    first = packing.best_fit(counts, packing.CAPACITY)
+    best = packing.search(spark, counts, packing.CAPACITY)
+    assert whole(best, counts, packing.CAPACITY)
+    assert packing.bound(counts, packing.CAPACITY) <= sum(best.values()) < sum(first.values()) == 456
+
+
+def test_pieces_are_cuts_of_the_librarys_ids(spark):
+    texts = ["", None, "a <|endoftext|> b", "short text, don't cut", "word and other " * 900, "é字 " * 700, "x " * 1023, "x " * 1024]
+    tokenizer = Tokenizer.from_file(tokens.vocabulary())
+    want = []
+    for doc, text in enumerate(texts):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        cuts = [*range(len(ids), 0, -1024)][::-1]
+        for piece, (a, b) in enumerate(zip([0, *cuts], cuts)):
+            want.append((doc, piece, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), epochs=1)
+    assert sorted(tuple(r)[:5] for r in got.collect()) == want
+
+
 def test_every_piece_has_its_place(spark):
     rng = random.Random(3)
     rows = [(k, " ".join("word" for _ in range(rng.choice([0, 1, 5, 30, 30, 30, 200, 2500]))), 7) for k in range(300)]
