@@ -112,24 +112,44 @@ def test_first_split_is_the_best_of_all():
         assert np.isclose(trees.leaf[0, int(side)], -quality.RATE * (p - y[own]).sum() / (own.sum() * p * (1 - p) + quality.RIDGE))
 
 
-def test_phrases_are_greedy_longest_matches():
+def slow_phrases(train, text):
+    inside = {tuple(train[a:b]) for a in range(len(train)) for b in range(a + 1, len(train) + 1)}
+    count, at = 1, 0  # the last phrase, which the text's end cuts off
+    while True:
+        end = at
+        while end < len(text) and tuple(text[at : end + 1]) in inside:
+            end += 1
+        if end == len(text):
+            return count
+        count += 1
+        at = end if text[end] in train else end + 1  # a symbol that the labelled text lacks ends a phrase within it
+
+
+def parsed(train, size, texts):
+    model = language.Model({})
+    model.langs, model.automata = ["x"], [language.Automaton(train, size)]
+    return model.phrases([np.array(t, np.uint8) for t in texts])[:, 0].tolist()
+
+
+def test_phrases_are_greedy_longest_matches(monkeypatch):
     rng = np.random.default_rng(1)
-    for _ in range(40):
-        size = 5
-        train = rng.integers(1, size, rng.integers(1, 60)).tolist()
-        text = rng.integers(0, size, rng.integers(1, 50)).tolist()
-        inside = {tuple(train[a:b]) for a in range(len(train)) for b in range(a + 1, len(train) + 1)}
-        count, at = 1, 0  # the last phrase, which the text's end cuts off
-        while True:
-            end = at
-            while end < len(text) and tuple(text[at : end + 1]) in inside:
-                end += 1
-            if end == len(text):
-                break
-            count += 1
-            at = end if text[end] in train else end + 1  # a symbol that the labelled text lacks ends a phrase within it
-        got = language.Automaton(train, size).phrases(np.array(text, np.uint8)[:, None], np.array([len(text)]))
-        assert got[0] == count
+    for segment, together in ((1024, 1 << 21), (7, 1 << 21), (3, 12), (1, 5)):
+        monkeypatch.setattr(language, "SEGMENT", segment)
+        monkeypatch.setattr(language, "TOGETHER", together)
+        for _ in range(25):
+            size = 5
+            train = rng.integers(1, size, rng.integers(1, 60)).tolist()
+            texts = [rng.integers(0, size, rng.integers(1, 50)).tolist() for _ in range(4)] + [train * 2, train + train[3:] + train]
+            assert parsed(train, size, texts) == [slow_phrases(train, t) for t in texts]
+    assert parsed([1, 2], 4, [[]]) == [0]
+
+
+def test_phrases_of_a_long_text():
+    rng = np.random.default_rng(2)
+    train = rng.integers(1, 9, 400).tolist()
+    long = rng.integers(0, 9, 10_000).tolist()
+    copied = sum((train[a : a + 90] for a in rng.integers(0, 300, 120).tolist()), [])
+    assert parsed(train, 9, [long, copied, train * 25]) == [slow_phrases(train, t) for t in (long, copied, train * 25)]
 
 
 def test_language_on_held_out_rows(spark):
