@@ -1,9 +1,7 @@
-"""What the training-data operators share: shared scratch tables, Arrow mapping and text helpers."""
+"""What the training-data operators share: Arrow mapping, held-out rows, and the scratch tables of the core."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,8 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from strandline.scratch import new_path, passing, removed, written
+
+__all__ = ["new_path", "passing", "removed", "written"]  # scratch tables, beside what stands here
+
 #: Rows in one Arrow batch; bounds a Python worker's memory when texts are long.
 ARROW_ROWS = 1024
+#: Bytes in one, where Spark can bound that, too.
+ARROW_BYTES = 32 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,34 +29,7 @@ def tune(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the cluster names none (tests) is one made."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='strandline-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/strandline"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """Cut lineage: write the rows to a table in the shared folder and read it back. Returns the path, too."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing will read again."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def map_columns(df: DataFrame, schema: str, fn: Callable[[], Callable[[dict], dict | None]]) -> DataFrame:

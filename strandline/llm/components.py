@@ -25,10 +25,12 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """From links (a, b) to (a, b) with b the smallest node that a reaches; nodes that are smallest have no row."""
-    edges, _ = common.written(edges.where("a <> b").distinct(), "links")
+    edges, path = common.written(edges.where("a <> b").distinct(), "links")
     state = None
     while True:
-        edges, _ = common.written(_small(_large(edges)), "stars")
+        before = path
+        edges, path = common.written(_small(_large(edges)), "stars")
+        common.removed(edges.sparkSession, before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges

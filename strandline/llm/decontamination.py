@@ -219,7 +219,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def reduced(docs: DataFrame, sizes: list[int], bits: int, table: np.ndarray) -> DataFrame:
+def reduced(docs: DataFrame, sizes: list[int], bits: int, table: np.ndarray) -> tuple[DataFrame, str]:
     """Documents with a window that may be a seed: doc_id, the text's key, the words in such windows, and their hashes."""
     shared = docs.sparkSession.sparkContext.broadcast(table)  # 1 << (MOST_BITS - 3) bytes at most
 
@@ -247,7 +247,7 @@ def reduced(docs: DataFrame, sizes: list[int], bits: int, table: np.ndarray) ->
 
     rows = keyed(docs.select("doc_id", "text"))
     made = common.map_columns(rows, "doc_id long, k1 long, k2 long, words binary, seeds array<long>", start)
-    return common.written(made, "reduced")[0]
+    return common.written(made, "reduced")
 
 
 PAIR = "k1 long, k2 long, item_id long, copies long, coverage double, covered_words long, tiles long"
@@ -255,30 +255,32 @@ PAIR = "k1 long, k2 long, item_id long, copies long, coverage double, covered_wo
 
 def tainted(docs: DataFrame, benchmark: DataFrame, coverage: float) -> tuple[DataFrame, DataFrame] | None:
     """The reduced documents, and the pairs of a text's key and an item that it covers enough; both written."""
-    items = benchmark_items(benchmark)
-    seeds, _ = common.written(items.select("item", F.explode("seeds").alias("seed")), "seeds")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # SEED at most
-    if not sizes:
-        return None
-    rows = reduced(docs, sizes, *seed_table(seeds))
-    texts, _ = common.written(rows.dropDuplicates(KEYS).drop("doc_id"), "texts")
-    near = texts.select(*KEYS, F.explode("seeds").alias("seed")).join(seeds, "seed").select(*KEYS, "item").distinct()
-    both = near.join(texts.select(*KEYS, "words"), [*KEYS]).join(items.drop("seeds", "size"), "item")
-
-    def start():
-        def step(cols: dict) -> dict | None:
-            found = []
-            for k1, k2, item_id, copies, own, item in zip(*(cols[c] for c in (*KEYS, "item_id", "copies", "words", "item_words")), strict=True):
-                got = covered(np.frombuffer(own, np.int64), np.frombuffer(item, np.int64), coverage)
-                if got:
-                    found.append((k1, k2, item_id, copies, *got))
-            names = [f.split()[0] for f in PAIR.split(", ")]
-            return dict(zip(names, map(list, zip(*found, strict=True)), strict=True)) if found else None
-
-        return step
-
-    pairs, _ = common.written(common.map_columns(both.select(*KEYS, "item_id", "copies", "words", "item_words"), PAIR, start), "pairs")
-    return rows, pairs
+    with common.passing(docs.sparkSession) as keep:
+        items = benchmark_items(benchmark)
+        seeds, _ = common.written(items.select("item", F.explode("seeds").alias("seed")), "seeds")
+        sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # SEED at most
+        if not sizes:
+            return None
+        rows, rows_path = reduced(docs, sizes, *seed_table(seeds))
+        texts, _ = common.written(rows.dropDuplicates(KEYS).drop("doc_id"), "texts")
+        near = texts.select(*KEYS, F.explode("seeds").alias("seed")).join(seeds, "seed").select(*KEYS, "item").distinct()
+        both = near.join(texts.select(*KEYS, "words"), [*KEYS]).join(items.drop("seeds", "size"), "item")
+
+        def start():
+            def step(cols: dict) -> dict | None:
+                found = []
+                for k1, k2, item_id, copies, own, item in zip(*(cols[c] for c in (*KEYS, "item_id", "copies", "words", "item_words")), strict=True):
+                    got = covered(np.frombuffer(own, np.int64), np.frombuffer(item, np.int64), coverage)
+                    if got:
+                        found.append((k1, k2, item_id, copies, *got))
+                names = [f.split()[0] for f in PAIR.split(", ")]
+                return dict(zip(names, map(list, zip(*found, strict=True)), strict=True)) if found else None
+
+            return step
+
+        pairs, path = common.written(common.map_columns(both.select(*KEYS, "item_id", "copies", "words", "item_words"), PAIR, start), "pairs")
+        keep += [rows_path, path]
+        return rows, pairs
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -296,10 +298,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     """Whole rows of documents that cover no item enough. The keys of texts that go are a written table, so Spark knows its
     size when it chooses how to join."""
     common.tune(docs.sparkSession)
-    found = tainted(docs, benchmark, coverage)
-    if found is None:
-        return docs
-    gone, _ = common.written(found[1].select(*KEYS).distinct(), "tainted")
+    with common.passing(docs.sparkSession) as keep:
+        found = tainted(docs, benchmark, coverage)
+        if found is None:
+            return docs
+        gone, path = common.written(found[1].select(*KEYS).distinct(), "tainted")
+        keep.append(path)
     same = [make(docs["text"]) == gone[name] for name, make in zip(KEYS, _KEYED, strict=True)]
     return docs.join(gone, same, "left_anti")
 
