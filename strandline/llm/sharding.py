@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from . import common
 
 SHARDS, VIRTUAL_NODES = 8, 64
-#: Cells of the ring: a power of two. A rank within a cell is counted in one task, over 1 / CELLS of the rows.
+#: Cells of the ring: a power of two.
 CELL_BITS = 14
 CELLS = 1 << CELL_BITS
+#: Rows of a cell that a task ranks, about.
+RANKED = 100_000
 
 
 def ring(spark: SparkSession, shards: int, virtual_nodes: int) -> list[int]:
@@ -77,7 +79,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_N
         "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32")
     ).withColumn("place", F.xxhash64("doc_id", "text_crc32", "size"))
     keyed = keyed.withColumn("cell", F.shiftrightunsigned("place", 64 - CELL_BITS).cast("int"))
-    rows, _ = common.written(keyed, "keyed")
+    rows, _ = common.written(keyed.withColumn("salt", F.monotonically_increasing_id()), "keyed")
 
     counts = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # CELLS at most
     total = sum(counts.values())
@@ -89,8 +91,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_N
         F.col("x")[0].cast("int").alias("cell"), F.col("x")[1].alias("first"), F.col("x")[2].alias("end"),
         F.col("x")[3].cast("int").alias("shard"), F.col("x")[4].alias("slot0"),
     )
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("place", "doc_id")).cast("long") - 1
-    found = rows.withColumn("rank", rank).join(F.broadcast(table), "cell")
+    # A cell's rows are ranked in parts of about RANKED rows, dealt by a number of each row, so that rows alike don't stand in
+    # one task; the rows of the parts before are added. Only cells beyond RANKED rows have parts: CELLS rows at most.
+    crowded = json.dumps([[cell, -(-n // RANKED)] for cell, n in counts.items() if n > RANKED])
+    dealt = spark.range(1).select(F.explode(F.from_json(F.lit(crowded), schema)).alias("x")).select(F.col("x")[0].cast("int").alias("cell"), F.col("x")[1].alias("parts"))
+    rows = rows.join(F.broadcast(dealt), "cell", "left").withColumn("part", F.pmod("salt", F.coalesce("parts", F.lit(1))))
+    sizes = rows.groupBy("cell", "part").agg(F.count("*").alias("n"))
+    before = sizes.select("cell", "part", (F.sum("n").over(Window.partitionBy("cell").orderBy("part")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("cell", "part").orderBy("place", "doc_id")).cast("long") - 1
+    ranked = rows.withColumn("rank", rank).join(before, ["cell", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    found = ranked.join(F.broadcast(table), "cell")
     return found.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
         (F.col("slot0") + F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

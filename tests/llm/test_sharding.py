@@ -1,5 +1,7 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 from strandline.llm import sharding
 
 
@@ -36,6 +38,36 @@ def test_one_more_shard_moves_few(spark):
     assert 4000 / 9 * 0.9 <= moved <= 4000 * 0.4
 
 
+def test_rows_alike_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANKED", 10)
+    got = sharding.assign(frame(spark, 100, [(None, "same", "", 0)] * 300 + [(7, "alike", "", 0)] * 55)).toPandas()
+    assert len(got) == 455 and got.groupby("shard").size().max() - got.groupby("shard").size().min() <= 1
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+
+
+def test_table_against_a_ring_row_by_row(spark):
+    docs = frame(spark, 700, [(None, "a", "", 0), (5, "b", "", 0)])
+    got = sharding.assign(docs, 5, 16)
+    text = F.coalesce("text", F.lit(""))
+    place = F.xxhash64("doc_id", F.crc32(text.cast("binary")).cast("long"), F.octet_length(text).cast("long") + 1)
+    rows = sorted((r[1] >> (64 - sharding.CELL_BITS), r[2], -1 if r[0] is None else r[0]) for r in (
+        (d, p % (1 << 64), p) for d, p in map(tuple, docs.select("doc_id", place).collect())))
+    owners, room = sharding.ring(spark, 5, 16), [-(-(702 - k) // 5) for k in range(5)]
+    waiting, want = [], {}
+    for _ in range(2):  # each cell's owner takes from those that came by, first come first served
+        for cell, owner in enumerate(owners):
+            while rows and rows[0][0] == cell:
+                waiting.append(rows.pop(0))
+            while waiting and room[owner]:
+                want.setdefault(waiting.pop(0)[2], []).append(owner)
+                room[owner] -= 1
+    found = {}
+    for r in got.collect():
+        found.setdefault(-1 if r["doc_id"] is None else r["doc_id"], []).append(r["shard"])
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_walk_keeps_the_owner_while_there_is_room():
     owners = [0, 0, 1, 1]
     runs = sharding.walk({0: 3, 2: 1, 3: 2}, owners, [3, 3])
