@@ -48,18 +48,51 @@ def parser() -> argparse.ArgumentParser:
         ("--max-lines-per-hunk", "changed lines shown of each hunk"), ("--max-context-lines", "lines shown of each context excerpt"),
         ("--max-records", "detail records after the summary"), ("--budget-tokens", "report size as ceil(serialized bytes / 4)"),
     ):
-        p.add_argument(name, type=int, default=0, help=f"{text} (0: no limit)")
+        p.add_argument(name, type=_whole, default=0, help=f"{text} (0: no limit)")
     p.add_argument("--repo", default=".", help="the repository (default: the current folder)")
     p.add_argument("commits", nargs="*")
     return p
 
 
+TRUTHS = {x: True for x in ("1", "t", "T", "true", "TRUE", "True")} | {x: False for x in ("0", "f", "F", "false", "FALSE", "False")}
+
+
+def split(known: argparse.ArgumentParser, argv: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Flags, with one dash or two, up to the first argument that is none or `--`; and the rest. `--flag=false` unsets."""
+    switches = {a.option_strings[-1]: a.nargs == 0 for a in known._actions if a.option_strings}
+    flags, rest = [], list(argv)
+    while rest and rest[0].startswith("-") and rest[0] != "-":
+        arg = rest.pop(0)
+        if arg == "--":
+            break
+        name, sign, value = arg.partition("=")
+        name = name if name.startswith("--") or name == "-h" else f"-{name}"
+        if not switches.get(name, True):
+            if not sign:
+                if not rest:
+                    known.error(f"{name} needs a value")
+                value = rest.pop(0)
+            flags.append(f"{name}={value}")
+        elif sign and name in switches:
+            if value not in TRUTHS:
+                known.error(f"{name} takes true or false, not {value}")
+            flags = [f for f in flags if f != name] + [name] * TRUTHS[value]
+        else:
+            flags.append(name + sign + value)
+    return flags, rest
+
+
+def _whole(text: str) -> int:
+    return int(text, 0)
+
+
 def revisions(args: argparse.Namespace) -> list[str]:
-    if args.base is not None or args.head is not None:
+    named = any(x.lstrip("-").partition("=")[0] in ("base", "head") and x[:1] == "-" and x[:3] != "---" for x in args.commits)
+    if named or args.base is not None or args.head is not None:
         if args.commits:
-            raise ValueError("cannot combine --base/--head with positional revision arguments")
+            raise ValueError("revisions are given twice: by --base and --head, and by position")
         if args.base is None or args.head is None:
-            raise ValueError("--base and --head must be provided together")
+            raise ValueError("--base needs --head, and --head needs --base")
         return [args.base, args.head]
     return args.commits
 
@@ -85,11 +118,14 @@ def write_version(out: TextIO, as_json: bool) -> None:
 
 
 def run(argv: Sequence[str], out: TextIO, new_app: Callable[[str], object] | None = None) -> None:
-    args = parser().parse_intermixed_args(list(argv))
+    known = parser()
+    flags, positional = split(known, argv)
+    args = known.parse_args(flags)
+    args.commits = positional
     if args.version:
         return write_version(out, args.json)
     if args.json:
-        raise Reported("--json requires --version")
+        raise ValueError("--json goes with --version only")
     commits = revisions(args)
     path_filter = PathFilter(args.include, tuple(args.exclude), args.exclude_vendor, args.changed_only)
     path_filter.validate()
@@ -99,7 +135,7 @@ def run(argv: Sequence[str], out: TextIO, new_app: Callable[[str], object] | Non
 
     writers = {"": report.write_jsonl, "jsonl": report.write_jsonl, "json": report.write_json}
     if args.format not in writers:
-        raise ValueError(f'unsupported format "{args.format}" (supported: jsonl, json)')
+        raise ValueError(f'there is no format "{args.format}": take jsonl or json')
     target = open(args.output, "w", encoding="utf-8", newline="\n") if args.output else out  # noqa: SIM115
     try:
         made = (new_app or _default_app)(args.repo).report(commits, args.fallback_to_head, app.Options(path_filter, limits, args.best_effort))
@@ -125,9 +161,7 @@ def _default_app(repo: str):
 def main(argv: Sequence[str] | None = None) -> int:
     try:
         run(sys.argv[1:] if argv is None else argv, sys.stdout)
-    except Reported as told:
-        if str(told) == "--json requires --version":
-            print(told, file=sys.stderr)
+    except Reported:
         return 1
     except Exception as failed:
         print(failed, file=sys.stderr)

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from strandline.functions import names, paths, texts
 from strandline.operators.compare import with_id
-from strandline.operators.intervals import bucketed_ranges
+from strandline.operators.intervals import BUCKET, bucketed_ranges
 
 
 def enclosing(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
     """(name, enclosing): for each wanted name the smallest other declaration of its file that holds it; ties by name."""
     inner = symbols.join(wanted.select("name"), "name", "left_semi").select("name", "path", "start_line", "end_line")
-    inner = inner.withColumn("bucket", F.floor(F.col("start_line") / 256)).alias("i")
+    inner = inner.withColumn("bucket", F.floor(F.col("start_line") / BUCKET)).alias("i")
     outer = bucketed_ranges(symbols.select("name", "path", "start_line", "end_line")).alias("o")
     held = inner.join(
         outer,

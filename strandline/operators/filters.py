@@ -27,7 +27,7 @@ class PathFilter:
             try:
                 paths.glob_regex(pattern)
             except paths.BadPattern as bad:
-                raise paths.BadPattern(f'invalid --{flag} pattern "{pattern}": {bad}') from None
+                raise paths.BadPattern(f'the pattern "{pattern}" of --{flag} is malformed: {bad}') from None
 
 
 def filter_paths(files: DataFrame):

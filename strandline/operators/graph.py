@@ -47,7 +47,11 @@ def java_imports(sources: DataFrame) -> DataFrame:
     pattern = r"(?m)^\s*import\s+(static\s+)?([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*(?:\.\*)?)\s*;"
     found = sources.select("path", F.posexplode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("ord", "line"))
     name = F.regexp_extract("line", pattern, 2)
-    rows = found.select("path", "ord", (F.regexp_extract("line", pattern, 1) != "").alias("is_static"), name.alias("name"))
+    return imports(found.select("path", "ord", (F.regexp_extract("line", pattern, 1) != "").alias("is_static"), name.alias("name")))
+
+
+def imports(rows: DataFrame) -> DataFrame:
+    """The same from (path, ord, is_static, name), where a name may end in a star."""
     wild = F.col("name").endswith(".*")
     rows = rows.where(F.col("name").contains("."))
     return rows.select(
@@ -58,7 +62,7 @@ def java_imports(sources: DataFrame) -> DataFrame:
 
 def resolve_java(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """(src, dst, site, order): the first hit of a cascade of candidate names, each with a priority and an ordinal."""
-    calls = _latest(refs, "src", "target", "package", "path").withColumn("call", F.xxhash64("src", "target", "package", "path"))
+    calls = _latest(refs, "src", "target", "package", "path").withColumn("call", F.struct("src", "target", "package", "path"))
     calls = calls.withColumn("dotted", F.col("target").contains("."))
     calls = calls.withColumn("receiver", F.when(F.col("dotted"), F.regexp_replace("target", r"\.[^.]*$", "")))
     calls = calls.withColumn("method", names.short_name(F.col("target")))

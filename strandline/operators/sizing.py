@@ -34,7 +34,7 @@ class Limits:
 
     def validate(self) -> None:
         if min(self.max_lines_per_hunk, self.max_context_lines, self.max_records, self.budget_tokens) < 0:
-            raise ValueError("size and budget limits must be non-negative")
+            raise ValueError("limits must not be negative")
 
 
 def marshal_size(json: Column) -> Column:

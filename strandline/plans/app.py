@@ -37,15 +37,15 @@ class App:
     inspect: Callable[[list[str]], DataFrame] | None = None
     current: Callable[[], Snapshot] | None = None
     base: Callable[[str], Snapshot] | None = None
-    workspace: Callable[[], DataFrame] | None = None
+    workspace: Callable[[DataFrame], DataFrame | None] | None = None
 
     def __post_init__(self) -> None:
         self.has_staged = self.has_staged or (lambda: git.has_staged(self.repo))
         self.has_unstaged = self.has_unstaged or (lambda: git.has_unstaged(self.repo))
         self.inspect = self.inspect or (lambda commits: git.diff(self.spark, self.repo, commits))
-        self.current = self.current or (lambda: extract.snapshot(git.worktree(self.spark, self.repo)))
+        self.current = self.current or (lambda: extract.snapshot(git.sources(self.spark, self.repo)))
         self.base = self.base or (lambda ref: extract.snapshot(git.at_ref(self.spark, self.repo, ref)))
-        self.workspace = self.workspace or (lambda: git.worktree(self.spark, self.repo, [".git"]))
+        self.workspace = self.workspace or (lambda paths: git.opened(self.spark, self.repo, paths))
 
     def resolve(self, commits: list[str], fallback_to_head: bool) -> list[str]:
         """Without commits: what is staged, else HEAD if that is asked for and the worktree is clean."""
@@ -53,8 +53,7 @@ class App:
             return commits
         if self.has_unstaged():
             raise Refused(
-                "refusing to analyze HEAD fallback with unstaged or untracked changes; stage, commit, stash, or pass an "
-                "explicit commit/range"
+                "HEAD is not taken while changes are unstaged or files untracked: stage, commit or stash them, or name a commit or a range"
             )
         return ["HEAD"]
 
@@ -73,10 +72,10 @@ class App:
         warnings = reports.warnings_of(kept)
         if warnings and not options.best_effort:
             raise Refused(
-                f"unsupported production language in {warnings[0]['path']} (use --best-effort to emit partial report with warnings)"
+                f"{warnings[0]['path']} is in a language that is not analysed; --best-effort reports the rest, with warnings"
             )
         current, base, more = self.snapshots(base_ref(commits), options.best_effort)
-        made = reports.build(changes, diffs.added_lines(lines), current, base, options.path_filter, self.workspace())
+        made = reports.build(changes, diffs.added_lines(lines), current, base, options.path_filter, self.workspace(kept.select("path")))
         made.warnings = warnings + more
         return made
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -44,6 +45,10 @@ ROWS = (
 )
 
 
+#: An import line of Java. Files of other languages are looked through, too.
+IMPORT = re.compile(r"^\s*import\s+(static\s+)?([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*(?:\.\*)?)\s*;", re.M | re.A)
+
+
 class ExtractionError(ValueError):
     """A file that can't be read as its language."""
 
@@ -58,7 +63,7 @@ def production_sources(sources: DataFrame) -> DataFrame:
 
 
 def extracted(sources: DataFrame) -> DataFrame:
-    """One row for each symbol, call and problem of (path, content, language) rows."""
+    """One row for each symbol, call, import and problem of (path, content, language) rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [f.split()[0] for f in ROWS.split(", ")]
@@ -70,6 +75,8 @@ def extracted(sources: DataFrame) -> DataFrame:
                 except SyntaxProblem:
                     out.append(("error", path, language, None, 0, f"parse {path}: syntax error", *[None] * 6))
                     continue
+                for k, m in enumerate(IMPORT.finditer(content or "")):
+                    out.append(("import", path, language, None, k, m[2], "static" if m[1] else "", *[None] * 5))
                 for k, x in enumerate(made.symbols):
                     out.append(("symbol", path, language, made.package, k, x.name, x.kind, x.start_line, x.end_line, x.source, None, None))
                 for k, c in enumerate(made.calls):
@@ -93,5 +100,6 @@ def snapshot(sources: DataFrame) -> Snapshot:
         "path", "language", "package", F.col("pos").alias("seq"), "src", "target", F.col("path").alias("site_path"),
         F.col("start_line").alias("site_line"), F.col("body").alias("site_code"),
     )
-    edges = cut(graph.call_graph(refs, symbols, graph.java_imports(own)), "edges")
+    imported = rows.where("what = 'import'").select("path", F.col("pos").cast("int").alias("ord"), (F.col("kind") == "static").alias("is_static"), "name")
+    edges = cut(graph.call_graph(refs, symbols, graph.imports(imported)), "edges")
     return Snapshot(symbols, edges)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ def diff_arguments(commits: list[str], include_formatting: bool = False) -> list
         return [*out, f"{commits[0]}^", commits[0]]
     if len(commits) == 2:
         return [*out, *commits]
-    raise ValueError(f"expected 0, 1, or 2 commits, got {len(commits)}")
+    raise ValueError(f"a diff is of at most two commits, not of {len(commits)}")
 
 
 def diff(spark: SparkSession, repo: str, commits: list[str], include_formatting: bool = False) -> DataFrame:
@@ -62,14 +63,45 @@ def skipped(path, folders: list[str] = SKIPPED):
     return F.arrays_overlap(parts, F.array(*map(F.lit, folders)))
 
 
-def worktree(spark: SparkSession, repo: str, folders: list[str] = SKIPPED) -> DataFrame:
-    """(path, content) of the files below a folder, without those below `folders`: Git's own and vendored ones."""
+def worktree(spark: SparkSession, repo: str, folders: list[str] = SKIPPED, names: str = "*") -> DataFrame:
+    """(path, content) of the files below a folder, without those below `folders`: Git's own and vendored ones. Files whose
+    names don't match the glob `names` are not listed, and files of skipped folders not opened: the filter on Spark's own
+    path column comes before contents are read."""
     root = repo.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root if "://" in root else f"file://{root}")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names)
+    files = read.load(root if "://" in root else f"file://{root}")
     plain = F.regexp_replace("path", "^[a-z]+:/*", "/")
     base = "/" + root.split("://")[-1].strip("/") + "/"
-    rows = files.select(F.substr(plain, F.lit(len(base) + 1)).alias("path"), "content")
-    return rows.where(~skipped(F.col("path"), folders))
+    inside = F.substr(plain, F.lit(len(base) + 1))
+    return files.where(~skipped(inside, folders)).select(inside.alias("path"), "content")
+
+
+def sources(spark: SparkSession, repo: str) -> DataFrame:
+    """The worktree's files of analysed languages."""
+    return worktree(spark, repo, names="*.{go,java}")
+
+
+def opened(spark: SparkSession, repo: str, paths: DataFrame) -> DataFrame:
+    """(path, content) of the files named in `paths`; those that the worktree lacks, or that lie outside of it, are left out.
+    Only these are read."""
+    if "://" in repo:
+        return worktree(spark, repo, [".git"]).join(paths.select("path").distinct(), "path", "left_semi")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path in frame["path"]:
+                inside = os.path.normpath(path)
+                if os.path.isabs(inside) or inside.split(os.sep)[0] in ("..", ".git"):
+                    continue
+                try:
+                    with open(os.path.join(repo, inside), "rb") as f:
+                        out.append((path, f.read()))
+                except OSError:
+                    continue
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return paths.select("path").distinct().mapInPandas(run, "path string, content binary")
 
 
 def at_ref(spark: SparkSession, repo: str, ref: str) -> DataFrame:
@@ -91,7 +123,7 @@ def at_ref(spark: SparkSession, repo: str, ref: str) -> DataFrame:
                 end = data.index(b"\n", at)
                 head = data[at:end].split()
                 if head[-1] == b"missing":
-                    raise GitError(f"git show failed for {path}")
+                    raise GitError(f"{ref} has no {path}")
                 size = int(head[2])
                 out.append((path, data[end + 1 : end + 1 + size]))
                 at = end + 2 + size

@@ -34,13 +34,18 @@ def test_git_access(spark, repo):
         git.diff_arguments(["a", "b", "c"])
     with pytest.raises(git.GitError):
         git.git(repo, "show", "nothing")
-    assert {r["path"] for r in git.worktree(spark, str(repo)).collect()} == {"a.go"}
+    (repo / "notes.txt").write_text("x")
+    assert {r["path"] for r in git.worktree(spark, str(repo)).collect()} == {"a.go", "notes.txt"}
+    assert {r["path"] for r in git.sources(spark, str(repo)).collect()} == {"a.go"}
+    wanted = spark.createDataFrame([(p,) for p in ("notes.txt", "gone.go", "vendor/v.go", "notes.txt", "../x", ".git/config")], "path string")
+    assert {r["path"] for r in git.opened(spark, str(repo), wanted).collect()} == {"notes.txt", "vendor/v.go"}
+    assert {r["path"] for r in git.opened(spark, f"file://{repo}", wanted).collect()} == {"notes.txt", "vendor/v.go"}
     assert {r["path"]: bytes(r["content"]) for r in git.at_ref(spark, str(repo), "HEAD").collect()}["a.go"].endswith(b"old() }\n")
 
 
 def test_command_line_end_to_end(spark, repo, monkeypatch, capsys):
     monkeypatch.setattr(cli, "_default_app", lambda path: app.App(spark, str(repo)))
-    assert cli.main(["--fallback-to-head"]) == 1 and "refusing to analyze HEAD" in capsys.readouterr().err
+    assert cli.main(["--fallback-to-head"]) == 1 and "HEAD is not taken" in capsys.readouterr().err
     sh(repo, "add", ".")
     target = repo / "out.jsonl"
     assert cli.main(["--output", str(target), "--review-summary"]) == 0
@@ -55,12 +60,24 @@ def test_command_line_end_to_end(spark, repo, monkeypatch, capsys):
 
 def test_command_line_problems(capsys):
     for argv, text in [
-        (["--json"], "--json requires --version"), (["--base", "x"], "must be provided together"), (["--base", "x", "--head", "y", "z"], "cannot combine"),
-        (["--include", "["], "invalid --include pattern"), (["--max-records", "-1"], "non-negative"), (["--format", "xml"], "unsupported format"),
+        (["--json"], "--json goes with --version"), (["--base", "x"], "needs --head"), (["--base", "x", "--head", "y", "z"], "given twice"),
+        (["--include", "["], "of --include is malformed"), (["--max-records", "-1"], "must not be negative"), (["--format", "xml"], "there is no format"),
         (["--nope"], "unrecognized arguments"),
     ]:
         assert cli.main(argv) == 1
         assert text in capsys.readouterr().err
+    for argv in (["a", "b", "--base", "x"], ["a", "-head=x"], ["--", "--base"], ["-base", "x", "-head", "y", "z"]):
+        assert cli.main(argv) == 1 and "given twice" in capsys.readouterr().err
+    assert cli.main(["-best-effort=maybe"]) == 1 and "true or false" in capsys.readouterr().err
+    assert cli.main(["--format"]) == 1 and "needs a value" in capsys.readouterr().err
+    known = cli.parser()
+    flags, rest = cli.split(known, ["-format", "json", "--best-effort", "-best-effort=false", "-max-records=0x10", "-exclude", "-x", "a", "--json"])
+    args = known.parse_args(flags)
+    assert (args.format, args.best_effort, args.max_records, args.exclude, rest) == ("json", False, 16, ["-x"], ["a", "--json"])
+    with pytest.raises(SystemExit) as ended:
+        cli.main(["-help"])
+    assert ended.value.code == 0
+    capsys.readouterr()
     out = io.StringIO()
     cli.run(["--version", "--json"], out)
     assert json.loads(out.getvalue())["schema_version"] == "1.0" and json.loads(out.getvalue())["supported_languages"] == ["go", "java"]
@@ -72,14 +89,14 @@ def fake(spark, diff, **more):
         raise AssertionError("must not be called")
 
     given = {"has_staged": fail, "has_unstaged": fail, "inspect": lambda commits: spark.createDataFrame([(0, diff)], DIFFS), "current": fail, "base": fail}
-    return app.App(spark, workspace=lambda: None, **(given | more))
+    return app.App(spark, workspace=lambda paths: None, **(given | more))
 
 
 DIFF = "diff --git a/x.ts b/x.ts\n--- a/x.ts\n+++ b/x.ts\n@@ -1 +1 @@\n+x\n"
 
 
 def test_strict_and_best_effort(spark):
-    with pytest.raises(app.Refused, match="unsupported production language in x.ts"):
+    with pytest.raises(app.Refused, match="x.ts is in a language"):
         fake(spark, DIFF).report([])
 
     def broken(*_):
