@@ -13,7 +13,7 @@ import struct
 
 import numpy as np
 
-BLOCK, RATE, MAX_ORDER = 1024, 8000, 4
+BLOCK, RATE, MAX_ORDER, MOST_RICE = 1024, 8000, 4, 11
 #: Sample-size codes of frame headers, and the coefficients of the fixed predictors (fixed values of the format).
 SIZE_CODES = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
@@ -81,6 +81,16 @@ def _header(n: int, frame: int) -> bytes:
     return head + bytes([crc])
 
 
+def _parameters(grouped: np.ndarray) -> np.ndarray:
+    """The Rice parameter of each partition (the last axis): the best of what its mean suggests and the two beside it."""
+    width = grouped.shape[-1]
+    total = grouped.sum(axis=-1)
+    guess = np.clip(np.floor(np.log2(np.maximum(total * (np.log(2) / width), 1))).astype(np.int64), 1, MOST_RICE - 1)
+    tried = [guess - 1, guess, guess + 1]
+    costs = np.stack([(grouped >> k[..., None].astype(np.int32)).sum(axis=-1) + width * (k + 1) for k in tried])
+    return np.take_along_axis(np.stack(tried), costs.argmin(axis=0)[None], axis=0)[0]
+
+
 def _bodies(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Subframes of frames of equal length (one a row): their bytes on end, and how many bytes each has."""
     frames, n = samples.shape
@@ -102,10 +112,9 @@ def _bodies(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     width = n >> parts
     column = np.arange(n)
     warm = column[None, :] < order[:, None]
-    folded = np.where(warm, 0, np.where(residual < 0, -2 * residual - 1, 2 * residual)).astype(np.int64)
+    folded = np.where(warm, 0, np.where(residual < 0, -2 * residual - 1, 2 * residual))
     grouped = folded.reshape(frames, 1 << parts, width)
-    codes = np.stack([(grouped >> k).sum(axis=2) + width * (k + 1) for k in range(12)])
-    rice = codes.argmin(axis=0)
+    rice = _parameters(grouped)
     param = np.repeat(rice, width, axis=1)
     quotient = folded >> param
     cost = np.where(warm, 8, quotient + 1 + param)
