@@ -7,6 +7,7 @@ leaves) need paths: only there, between where paths enter and leave the core, si
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from strandline.functions import names
 from strandline.operators.compare import with_id
 from strandline.operators.intervals import compacted, join_ranges
-from strandline.scratch import cut
+from strandline.scratch import cut, passing, written
 
 
 @dataclass
@@ -94,12 +95,84 @@ def _on_simple_paths(core: DataFrame, enters: DataFrame, leaves: DataFrame) -> D
     return done.select(F.explode("path").alias("name")).distinct()
 
 
+#: Call edges up to which the graph is walked in the driver's memory; beyond, by joins.
+LOCAL_EDGES = 200_000
+
+
 def impact(changed: DataFrame, edges: DataFrame, symbols: DataFrame) -> Impact:
-    """Entry points and nodes for changed names. Callers that are no symbol are left out of both."""
+    """Entry points and nodes for changed names. Callers that are no symbol are left out of both. A graph of at most
+    LOCAL_EDGES edges is walked at once; a larger one frontier by frontier over tables."""
+    spark = edges.sparkSession
     known = symbols.select("name")
     steps = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    steps = cut(steps.join(known.select(F.col("name").alias("a")), "a", "left_semi").join(known.select(F.col("name").alias("b")), "b", "left_semi").distinct(), "steps")
-    names_changed = cut(changed.select("name").join(known, "name", "left_semi").distinct(), "changed")
+    steps = steps.join(known.select(F.col("name").alias("a")), "a", "left_semi").join(known.select(F.col("name").alias("b")), "b", "left_semi").distinct()
+    start = changed.select("name").join(known, "name", "left_semi").distinct()
+    with passing(spark) as keep:
+        steps, start = cut(steps, "steps"), cut(start, "changed")
+        few, asked = steps.limit(LOCAL_EDGES + 1).collect(), start.limit(LOCAL_EDGES + 1).collect()
+        if max(len(few), len(asked)) <= LOCAL_EDGES:
+            found = walked([(r["a"], r["b"]) for r in few], [r["name"] for r in asked])
+            return Impact(*(spark.createDataFrame([(x,) for x in sorted(own)], "name string") for own in found))
+        found = _impact_by_joins(start, steps)
+        made = [written(df, "impact") for df in (found.entry_points, found.nodes)]
+        keep += [path for _, path in made]
+    return Impact(*(df for df, _ in made))
+
+
+def walked(edges: list[tuple[str, str]], changed: list[str]) -> tuple[set[str], set[str]]:
+    """Entry points and nodes of a graph in memory."""
+    up, down = defaultdict(list), defaultdict(list)
+    for a, b in edges:
+        up[b].append(a)
+        down[a].append(b)
+
+    def reach(start, ahead, inside=None) -> set[str]:
+        seen, stack = set(start), list(start)
+        while stack:
+            for x in ahead[stack.pop()]:
+                if x not in seen and (inside is None or x in inside):
+                    seen.add(x)
+                    stack.append(x)
+        return seen
+
+    above = reach(changed, up)
+    entry = {x for x in above if not up[x]}
+    between = reach(entry, down, above)
+    # What is left when symbols without a caller or without a callee are peeled off lies on or between cycles.
+    core = set(between)
+    for ahead, back in ((up, down), (down, up)):
+        degree = {x: sum(y in core for y in ahead[x]) for x in core}
+        gone = [x for x, n in degree.items() if not n]
+        while gone:
+            x = gone.pop()
+            core.discard(x)
+            for y in back[x]:
+                if y in core:
+                    degree[y] -= 1
+                    if not degree[y]:
+                        gone.append(y)
+    if not core:
+        return entry, between
+    asked = set(changed)
+    leaves = {x for x in core if x in asked or any(y in between and y not in core for y in down[x])}
+    on_path: set[str] = set()
+    for enter in (x for x in core if any(y in between and y not in core for y in up[x])):
+        path, held, todo = [enter], {enter}, [iter(down[enter])]
+        while todo:  # every simple path inside the core from here
+            if path[-1] in leaves:
+                on_path.update(path)
+            step = next((y for y in todo[-1] if y in core and y not in held), None)
+            if step is None:
+                todo.pop()
+                held.discard(path.pop())
+            else:
+                path.append(step)
+                held.add(step)
+                todo.append(iter(down[step]))
+    return entry, (between - core) | on_path
+
+
+def _impact_by_joins(names_changed: DataFrame, steps: DataFrame) -> Impact:
     above = cut(_closure(names_changed, steps.select(F.col("b").alias("a"), F.col("a").alias("b")), "above"), "above")
     entry = cut(above.join(steps.select(F.col("b").alias("name")), "name", "left_anti"), "entry")
     inside = steps.join(above.select(F.col("name").alias("a")), "a", "left_semi").join(above.select(F.col("name").alias("b")), "b", "left_semi")
@@ -115,7 +188,7 @@ def impact(changed: DataFrame, edges: DataFrame, symbols: DataFrame) -> Impact:
     out = inside.join(in_core.select(F.col("name").alias("b")), "b", "left_anti").select(F.col("a").alias("name"))
     enters = in_core.join(into, "name", "left_semi")
     leaves = in_core.join(out.unionByName(names_changed), "name", "left_semi")
-    return Impact(entry, cut(plain.unionByName(_on_simple_paths(core, enters, cut(leaves, "leaves"))), "nodes"))
+    return Impact(entry, plain.unionByName(_on_simple_paths(core, enters, cut(leaves, "leaves"))))
 
 
 def chains(changed: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -16,6 +16,11 @@ KEYS = ["diff_id", "file_ord"]
 LINE = "array<struct<op string, old_line int, new_line int, content string>>"
 
 
+def change_intent(moved_lines: Column) -> Column:
+    """What a file that lost lines to moves is tagged with."""
+    return F.when(moved_lines > 0, F.array(*map(F.lit, CHANGE_INTENT)))
+
+
 def none_if_empty(column: Column) -> Column:
     return F.when(F.size(column) > 0, column)
 

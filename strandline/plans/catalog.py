@@ -3,8 +3,6 @@ same rows by its own means."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,33 +11,11 @@ from strandline.operators import compare, contexts, diffs, filters, graph, impac
 from strandline.operators.diffs import Changes
 from strandline.operators.filters import PathFilter
 from strandline.operators.sizing import Limits
-from strandline.plans import derived, report
+from strandline.plans import catalog_sources, derived, report
 from strandline.plans.derived import DIFF_LINES_TWIN, relation, twin, with_
-from strandline.sources import extract
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its twin."""
-
-    def register(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def many(spark: SparkSession, sf_dir: str, *wanted: str) -> list[DataFrame]:
-    return [relation(spark, sf_dir, n) for n in wanted]
+from strandline.plans.queries import ORACLE_SQL, QUERIES, many, query, table
 
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog_sources", "flagship"]
 
 # --- intervals -------------------------------------------------------------------------------------------------------
 
@@ -125,6 +101,36 @@ def changed_symbols(spark, sf_dir):
     return impact.changed_symbols(changed, symbols, _moves(spark, sf_dir))
 
 
+MOVED_ROWS = """moved_rows AS (SELECT h.*, EXISTS (SELECT 1 FROM sym_cur c JOIN sym_base b ON c.name = b.name AND c.path <> b.path AND c.source = b.source
+  WHERE (h.op = 'add' AND c.path = h.path AND h.line BETWEEN c.start_line AND c.end_line)
+    OR (h.op = 'delete' AND b.path = h.old_path AND h.line BETWEEN b.start_line AND b.end_line)) AS gone FROM hunk_rows h)"""
+
+
+def _without_moves(spark, sf_dir) -> tuple[Changes, DataFrame]:
+    (rows,) = many(spark, sf_dir, "hunk_rows")
+    files = rows.groupBy("diff_id", "file_ord").agg(F.min("path").alias("path"), F.min("old_path").alias("old_path"), F.lit("renamed").alias("status"), F.lit(False).alias("test"))
+    hunks = rows.select("diff_id", "file_ord", "hunk_ord", *[F.lit(1).alias(c) for c in ("old_start", "old_lines", "new_start", "new_lines")]).distinct()
+    lines = rows.select(
+        "diff_id", "file_ord", "hunk_ord", "line_ord", "op", F.when(F.col("op") == "delete", F.col("line")).alias("old_line"),
+        F.when(F.col("op") == "add", F.col("line")).alias("new_line"), F.lit("x").alias("content"),
+    )
+    return moves.drop_moved_hunk_lines(Changes(files, hunks, lines), _moves(spark, sf_dir))
+
+
+@query(with_("sym_cur", "sym_base", "hunk_rows") + f", {MOVED_ROWS} SELECT file_ord, hunk_ord, count(*) AS lines FROM moved_rows WHERE NOT gone GROUP BY ALL")
+def hunks_without_moved_lines(spark, sf_dir):
+    changes, _ = _without_moves(spark, sf_dir)
+    lines = changes.hunk_lines.groupBy("file_ord", "hunk_ord").agg(F.count("*").alias("lines"))
+    return changes.hunks.join(lines, ["file_ord", "hunk_ord"]).select("file_ord", "hunk_ord", "lines")
+
+
+@query(with_("sym_cur", "sym_base", "hunk_rows") + f""", {MOVED_ROWS} SELECT file_ord, CAST(count(*) AS INT) AS moved_lines_omitted,
+'symbol_moves,package_reorganization' AS change_intent FROM moved_rows WHERE gone GROUP BY file_ord""")
+def moved_line_intents(spark, sf_dir):
+    _, omitted = _without_moves(spark, sf_dir)
+    return omitted.select("file_ord", "moved_lines_omitted", F.array_join(records.change_intent(F.col("moved_lines_omitted")), ",").alias("change_intent"))
+
+
 # --- graph -----------------------------------------------------------------------------------------------------------
 
 @query(f"""SELECT name, path, start_line FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path DESC, pos DESC) AS r
@@ -363,6 +369,30 @@ def hunk_line_cap(spark, sf_dir):
     )
 
 
+GLOBS = r"""(path LIKE 'pkg/%' OR old_path LIKE 'pkg/%') AND NOT
+(regexp_matches('/' || path, '^(/[^/]*)*/f[0-9][^/]*3[^/]*$') OR regexp_matches('/' || old_path, '^(/[^/]*)*/f[0-9][^/]*3[^/]*$'))"""
+
+
+@query(f"""WITH {DIFF_LINES_TWIN}, {FILES}, allowed AS (SELECT path FROM files WHERE {GLOBS} UNION SELECT old_path FROM files WHERE {GLOBS} AND old_path <> '')
+SELECT n.diff_id, f.path, CAST(n.new_line AS INT) AS line_no FROM diff_numbers n JOIN files f ON f.diff_id = n.diff_id
+WHERE n.op = 'add' AND NOT f.test AND f.status <> 'deleted' AND f.path IN (SELECT path FROM allowed)""")
+def path_filtered_lines(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    files = filters.filtered_files(diffs.changes(lines).files, PathFilter(include="pkg/**", excludes=("**/f[0-9]*3*",)))
+    return filters.filtered_lines(diffs.added_lines(lines), filters.allowed_paths(files)).select("diff_id", "path", "line_no")
+
+
+@query(f"""WITH {DIFF_LINES_TWIN}, {FILES} SELECT test, diff_id, 1 AS file_ord, '{{"path":"' || path || '"' ||
+CASE WHEN old_path <> '' THEN ',"old_path":"' || old_path || '"' ELSE '' END || ',"status":"' || status || '","language":"go"' ||
+CASE WHEN diff_id % 3 = 0 THEN ',"symbols":["' || path || '::a","' || path || '::b"]' ELSE '' END || '}}' AS json FROM files""")
+def review_file_entries(spark, sf_dir):
+    files = _facts(spark, sf_dir)
+    nodes = files.where("diff_id % 3 = 0").select("path", F.explode(F.array(F.lit("b"), F.lit("a"), F.lit("b"))).alias("n"))
+    nodes = nodes.select("path", F.concat_ws("::", "path", "n").alias("id"))
+    none = dict.fromkeys(("changed", "deleted", "contexts", "moved", "removed", "entry_points", "calls", "refs"))
+    return report.review_files(report.Report(files=files, nodes=nodes, **none))
+
+
 # --- paths and texts -------------------------------------------------------------------------------------------------
 
 EXT = r"lower(regexp_extract(path, '(\.[^./]*)$', 1))"
@@ -450,6 +480,38 @@ def context_line_cap(spark, sf_dir):
     return sizing.limited_contexts(rows, 5)[1].select(F.col("id").cast("long").alias("doc_id"), "original_count", "emitted_count", "omitted_count")
 
 
+#: Tokens that a report of documents may take, and the bytes that each omission row counts there.
+BUDGET, ROW_BYTES = 20_000, 100
+
+
+@query(f"""WITH sizes AS (SELECT 0 AS class, doc_id AS key, strlen(text) AS n FROM documents UNION ALL SELECT 1, p_partkey, strlen(p_name) FROM part),
+ranked AS (SELECT row_number() OVER w AS r, sum(n) OVER w AS total FROM sizes WINDOW w AS (ORDER BY class, n, key ROWS UNBOUNDED PRECEDING)),
+fits AS (SELECT coalesce(max(r), 0) AS kept FROM ranked WHERE ceil((total + r + {ROW_BYTES}) / 4.0) <= {BUDGET})
+SELECT 'records' AS kind, 'budget_tokens' AS reason, (SELECT count(*) FROM sizes) AS original_count, kept AS emitted_count,
+  (SELECT count(*) FROM sizes) - kept AS omitted_count FROM fits""")
+def budget_fit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.lit(0).alias("class"), F.col("doc_id").alias("ord"), F.octet_length("text").cast("long").alias("bytes"))
+    parts = table(spark, sf_dir, "part").select(F.lit(1).alias("class"), F.col("p_partkey").alias("ord"), F.octet_length("p_name").cast("long").alias("bytes"))
+    rows = docs.unionByName(parts).select("*", F.col("bytes").alias("size"), *[F.lit("").alias(k) for k in ("k1", "k2", "k3")])
+    tokens_of = lambda n_bytes, n, own: sizing.tokens(n_bytes + n + ROW_BYTES * len(own))
+    _, omissions = sizing.fit_budget(rows, rows.count(), [], BUDGET, tokens_of)
+    names = ["kind", "reason", "original_count", "emitted_count", "omitted_count"]
+    return spark.createDataFrame([tuple(r[k] for k in names) for r in omissions], "kind string, reason string, original_count long, emitted_count long, omitted_count long")
+
+
+@query("""WITH sums AS (SELECT lang AS kind, source AS reason, doc_id % 5 AS path, sum(n_chars) AS n FROM documents GROUP BY ALL),
+groups AS (SELECT kind, reason, sum(n) AS n FROM sums GROUP BY ALL)
+SELECT kind, reason, CAST(n AS BIGINT) AS original_count, CAST(0 AS BIGINT) AS emitted_count, CAST(n AS BIGINT) AS omitted_count FROM groups
+UNION ALL SELECT 'omission_metadata', 'budget_tokens', (SELECT count(*) FROM sums), (SELECT count(*) FROM groups) + 1,
+  (SELECT count(*) FROM sums) - (SELECT count(*) FROM groups) - 1 WHERE (SELECT count(*) FROM sums) > (SELECT count(*) FROM groups)""")
+def budget_omission_rollup(spark, sf_dir):
+    sums = table(spark, sf_dir, "documents").groupBy("lang", "source", (F.col("doc_id") % 5).alias("path")).agg(F.sum("n_chars").alias("n"))
+    rows = [sizing.omission(r["lang"], r["source"], r["n"], 0, r["n"], str(r["path"])) for r in sums.collect()]  # five for each language and source
+    names = ["kind", "reason", "original_count", "emitted_count", "omitted_count"]
+    made = [tuple(r[k] for k in names) for r in sizing.budget_omissions(rows)]
+    return spark.createDataFrame(made, "kind string, reason string, original_count long, emitted_count long, omitted_count long")
+
+
 # --- pruning ---------------------------------------------------------------------------------------------------------
 
 ALLOWED = "allowed AS (SELECT DISTINCT path FROM sym_cur WHERE path LIKE 'src/file%1.go')"
@@ -518,6 +580,19 @@ def pruned_entry_points_changed_only(spark, sf_dir):
     return _pruned(spark, sf_dir, True).entry_points
 
 
+@query(with_("changed", "edges_cur", "sym_cur", "sym_base") + f""", {RELATED}, {CONTEXT_ROWS}, {ALLOWED},
+known AS (SELECT path || '::' || name AS id FROM sym_cur WHERE path {P}
+  UNION SELECT from_id FROM moves WHERE string_split(from_id, '::')[1] {P} OR string_split(to_id, '::')[1] {P}
+  UNION SELECT to_id FROM moves WHERE string_split(from_id, '::')[1] {P} OR string_split(to_id, '::')[1] {P}
+  UNION SELECT id FROM rows WHERE path {P} AND (related_to = '' OR string_split(related_to, '::')[1] {P})
+  UNION SELECT path || '::' || name FROM sym_base WHERE path {P} AND path || '::' || name NOT IN (SELECT path || '::' || name FROM sym_cur)
+    AND path || '::' || name NOT IN (SELECT from_id FROM moves))
+SELECT e.src AS name, t.path || '::' || t.name AS to_id, e.site_path, e.site_line FROM edges_cur e JOIN sym_cur s ON s.name = e.src JOIN sym_cur t ON t.name = e.dst
+WHERE e.site_path {P} AND t.path || '::' || t.name IN (SELECT id FROM known)""")
+def pruned_calls_changed_only(spark, sf_dir):
+    return _pruned(spark, sf_dir, True).calls.select("name", "to_id", "site_path", "site_line")
+
+
 # --- the report ------------------------------------------------------------------------------------------------------
 
 SUMMARY = with_("changed", "edges_cur", "edges_base", "sym_cur", "sym_base") + WALK + f""", {RELATED},
@@ -542,10 +617,15 @@ def summary_counts(spark, sf_dir):
     return rows.drop("files", "test_files", "total", "declaration_context")
 
 
+def _file_number(path):
+    """Twice the number in the path, and one more below moved/: told by the path itself, so no task numbers all files."""
+    return F.regexp_extract(path, "file([0-9]+)", 1).cast("int") * 2 + path.startswith("moved/").cast("int")
+
+
 def _report(spark, sf_dir) -> report.Report:
     current, base, now, old, added = many(spark, sf_dir, "sym_cur", "sym_base", "edges_cur", "edges_base", "added")
     files = added.select("path").distinct().select(
-        F.lit(0).cast("long").alias("diff_id"), F.row_number().over(Window.orderBy("path")).alias("file_ord"), F.lit("modified").alias("status"),
+        F.lit(0).cast("long").alias("diff_id"), _file_number(F.col("path")).alias("file_ord"), F.lit("modified").alias("status"),
         F.lit("").alias("old_path"), "path", paths.is_test(F.col("path")).alias("test"),
     )
     hunks = files.select("diff_id", "file_ord", F.lit(1).alias("hunk_ord"), *[F.lit(1).alias(c) for c in ("old_start", "old_lines", "new_start", "new_lines")])
@@ -564,25 +644,6 @@ def report_records(spark, sf_dir):
     return report.details(_report(spark, sf_dir), Limits()).select("class", "ord", "k1", "k2", "k3", F.col("typed").alias("record"))
 
 
-GO_SOURCE = "package app\n\nfunc A() { B(); Service{}.Do() }\nfunc B() {}\n\ntype Service struct{}\n\nfunc (s *Service) Do() { helper.Run(); s.run() }\n"
-JAVA_SOURCE = "package com.acme;\nclass A {\n  void f() { g(); B.s(); Runnable r = () -> g(); }\n  void g() {}\n}\nclass B { static void s() {} }\n"
-
-
-def _extracted(spark: SparkSession, path: str, text: str) -> DataFrame:
-    rows = extract.production_sources(spark.createDataFrame([(path, text)], "path string, content string"))
-    return extract.extracted(rows).select("what", "name", "kind", "start_line", "end_line", "src", "target")
-
-
-@query()
-def extract_go_symbols(spark, sf_dir):
-    return _extracted(spark, "app/a.go", GO_SOURCE)
-
-
-@query()
-def extract_java_calls(spark, sf_dir):
-    return _extracted(spark, "src/main/java/A.java", JAVA_SOURCE)
-
-
 @query(f"SELECT DISTINCT name, key FROM (WITH symbols AS (SELECT DISTINCT name FROM ({twin('methods')})) SELECT name, regexp_replace(name, '^[^.]*[.]', '') AS key FROM symbols UNION SELECT name, string_split(name, '.')[-1] FROM symbols)")
 def callable_index(spark, sf_dir):
     (methods,) = many(spark, sf_dir, "methods")

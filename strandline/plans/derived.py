@@ -51,6 +51,32 @@ SQL = {
 SELECT CAST(0 AS BIGINT) AS diff_id, {path_of('l_partkey', True)} AS path,
   CAST((l_partkey % 100) * 30 + 1 + l_suppkey % 40 AS INT) AS line_no, 'x' AS content
 FROM {{lineitem}}""",
+    "hunk_rows": f"""
+SELECT CAST(0 AS BIGINT) AS diff_id, CAST(CAST(floor(l_partkey / 100.0) AS INT) * 2 + (CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE 0 END) AS INT) AS file_ord,
+  CAST(l_suppkey % 3 + 1 AS INT) AS hunk_ord, CAST(l_linenumber AS INT) AS line_ord, CASE WHEN l_linenumber % 2 = 0 THEN 'add' ELSE 'delete' END AS op,
+  CAST((l_partkey % 100) * 30 + 1 + l_suppkey % 40 AS INT) AS line, {path_of('l_partkey', True)} AS path, {path_of('l_partkey', False)} AS old_path
+FROM {{lineitem}}""",
+    "java_symbols": """
+SELECT DISTINCT 'com.p' || CAST(p_partkey % 5 AS STRING) || '.T' || CAST(p_partkey % 13 AS STRING) AS name, 'class_declaration' AS kind FROM {part}
+UNION ALL SELECT DISTINCT 'com.p' || CAST(p_partkey % 5 AS STRING) || '.T' || CAST(p_partkey % 13 AS STRING) || '.m' || CAST(p_partkey % 31 AS STRING),
+  'method_declaration' FROM {part}""",
+    "java_refs": """
+SELECT DISTINCT 'f' || CAST(l_suppkey % 20 AS STRING) || '.java' AS path, 'com.p' || CAST(l_suppkey % 5 AS STRING) AS package, l_orderkey * 10 + l_linenumber AS seq,
+  'com.p' || CAST(l_suppkey % 5 AS STRING) || '.T' || CAST(l_partkey % 13 AS STRING) || '.m' || CAST(l_partkey % 31 AS STRING) AS src,
+  CASE l_linenumber % 5 WHEN 0 THEN 'm' || CAST(l_orderkey % 31 AS STRING)
+    WHEN 1 THEN 'T' || CAST(l_orderkey % 13 AS STRING) || '.m' || CAST(l_partkey % 31 AS STRING)
+    WHEN 2 THEN 'com.p' || CAST(l_orderkey % 5 AS STRING) || '.T' || CAST(l_orderkey % 13 AS STRING) || '.m' || CAST(l_orderkey % 31 AS STRING)
+    WHEN 3 THEN 'T' || CAST(l_partkey % 13 AS STRING) || '.s' || CAST(l_orderkey % 9 AS STRING)
+    ELSE 'x.T' || CAST(l_orderkey % 13 AS STRING) || '.m1' END AS target, 'f.java' AS site_path, CAST(l_linenumber AS INT) AS site_line, 'call' AS site_code
+FROM {lineitem}""",
+    "java_imports": """
+SELECT DISTINCT 'f' || CAST(p_partkey % 20 AS STRING) || '.java' AS path, p_size % 2 = 0 AS is_static, p_size % 3 = 0 AS is_wildcard,
+  CASE WHEN p_size % 2 = 0 THEN 'com.p' || CAST(p_size % 5 AS STRING) || '.T' || CAST(p_size % 13 AS STRING) ELSE 'com.p' || CAST(p_size % 5 AS STRING) END AS owner,
+  CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 2 = 0 THEN 'm' || CAST(p_size % 31 AS STRING) ELSE 'T' || CAST(p_size % 13 AS STRING) END AS short,
+  CAST(p_size AS INT) AS ord FROM {part}""",
+    "code": """
+SELECT CAST(p_partkey AS INT) AS k, CAST(p_partkey % 10 AS STRING) AS a, CAST(p_partkey % 7 AS STRING) AS b, CAST(p_partkey AS STRING) AS n, CAST(p_size AS INT) AS size
+FROM {part}""",
     "methods": """
 SELECT 'pkg' || CAST(p_partkey % 3 AS STRING) || '.T' || CAST(p_partkey % 7 AS STRING) || '.m' || CAST(p_partkey % 40 AS STRING) AS name,
   'dir' || CAST(p_partkey % 20 AS STRING) || '/f.go' AS path, p_partkey AS pos, p_size AS start_line FROM {part}""",

@@ -108,7 +108,7 @@ def _file_columns(limit: int) -> list[Column]:
     preview = records.preview(F.col("added"))
     return [
         F.col("status"), _some(F.col("old_path"), "").alias("old_path"), F.col("path"), F.col("test"), _some(F.col("language"), "").alias("language"),
-        F.col("classification"), F.when(F.col("moved_lines_omitted") > 0, F.array(*map(F.lit, records.CHANGE_INTENT))).alias("change_intent"),
+        F.col("classification"), records.change_intent(F.col("moved_lines_omitted")).alias("change_intent"),
         F.struct("added_lines", "deleted_lines", "added_bytes", "deleted_bytes").alias("diffstat"), F.col("symbols"), F.col("content_ref"),
         F.when(compacted, preview).alias("preview"), F.when(compacted, F.lit(True)).alias("hunks_omitted"),
         _some(F.when(compacted, F.col("hunk_lines")).otherwise(left_out), 0).alias("omitted_lines"),

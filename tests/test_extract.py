@@ -41,13 +41,13 @@ def test_go_callees():
 
 def test_java_symbols():
     got = java.extract(
-        "package com.acme;\nclass Greeter {\n  Greeter() {}\n  void greet() {\n    Runnable r = () -> { System.out.println(\"hi\"); };\n"
-        "    Object o = new Object() { void run() {} };\n  }\n}\ninterface Welcomer { default void welcome() {} }\nrecord Point(int x) { public Point {} }\n"
-        "enum Mood { HAPPY; void smile() {} }\n"
+        "package org.tea;\nclass Kettle {\n  Kettle() { fill(); }\n  int boil(int n) {\n    Supplier<String> s = () -> { return \"hot\"; };\n"
+        "    Runnable w = new Runnable() { public void run() { s.get(); } };\n    return n;\n  }\n}\ninterface Pourer { default void pour() {} }\n"
+        "record Cup(int size) { public Cup {} }\nenum Leaf { GREEN; void steep() {} }\n"
     )
-    assert [s.name.removeprefix("com.acme.") for s in got.symbols] == [
-        "Greeter", "Greeter.<init>", "Greeter.greet", "Greeter.lambda@5", "Greeter.anonymous@6", "Greeter.anonymous@6.run", "Welcomer", "Welcomer.welcome",
-        "Point", "Point.<init>", "Mood", "Mood.smile",
+    assert [s.name.removeprefix("org.tea.") for s in got.symbols] == [
+        "Kettle", "Kettle.<init>", "Kettle.boil", "Kettle.lambda@5", "Kettle.anonymous@6", "Kettle.anonymous@6.run", "Pourer", "Pourer.pour", "Cup", "Cup.<init>",
+        "Leaf", "Leaf.steep",
     ]
     more = java.extract(
         "class A<T extends Comparable<T>> implements B<Map<String, List<T>>> {\n  @Override public <K> Map<K, V> get(K k) throws E { return null; }\n"
