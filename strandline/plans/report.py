@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from typing import TextIO
 
@@ -198,24 +199,28 @@ def review_files(report: Report) -> DataFrame:
     return joined.select("test", "diff_id", "file_ord", F.to_json(shown).alias("json")).orderBy("diff_id", "file_ord")
 
 
-def review_summary(report: Report) -> str:
-    """The first-pass map of the whole report, before any limit, as one JSON object."""
-    parts = [f'"schema_version":"{SCHEMA_VERSION}"']
-
-    def add(name: str, texts) -> None:
-        body = ",".join(texts)
-        if body:
-            parts.append(f'"{name}":[{body}]')
-
+def review_summary(report: Report) -> Iterator[str]:
+    """The first-pass map of the whole report, before any limit: a JSON object without its first brace, piece by piece, so
+    the driver holds one entry at a time."""
+    yield f'"schema_version":"{SCHEMA_VERSION}"'
     files = review_files(report)
-    add("changed_production_files", (r["json"] for r in files.where("not test").toLocalIterator()))
-    add("changed_test_files", (r["json"] for r in files.where("test").toLocalIterator()))
-    add("changed_symbols", (_compact(r["id"]) for r in report.changed.orderBy("id").toLocalIterator()))
-    add("deleted_symbols", (_compact(r["id"]) for r in report.deleted.orderBy("id").toLocalIterator()))
     call = F.to_json(F.struct(F.col("from_id").alias("from"), F.col("to_id").alias("to"), F.struct(F.col("site_path").alias("path"), F.col("site_line").alias("line")).alias("call_site")))
-    add("risky_removed_call_edges", (r["json"] for r in report.removed.orderBy("from_id", "to_id").select(call.alias("json")).toLocalIterator()))
-    add("unsupported_files", map(_compact, sorted({w["path"] for w in report.warnings if w["code"] == "unsupported_language" and w.get("path")})))
-    return "{" + ",".join(parts) + "}"
+    lists = [
+        ("changed_production_files", (r["json"] for r in files.where("not test").toLocalIterator())),
+        ("changed_test_files", (r["json"] for r in files.where("test").toLocalIterator())),
+        ("changed_symbols", (_compact(r["id"]) for r in report.changed.orderBy("id").toLocalIterator())),
+        ("deleted_symbols", (_compact(r["id"]) for r in report.deleted.orderBy("id").toLocalIterator())),
+        ("risky_removed_call_edges", (r["json"] for r in report.removed.orderBy("from_id", "to_id").select(call.alias("json")).toLocalIterator())),
+        ("unsupported_files", map(_compact, sorted({w["path"] for w in report.warnings if w["code"] == "unsupported_language" and w.get("path")}))),
+    ]
+    for name, entries in lists:
+        some = False
+        for entry in entries:
+            yield f",{entry}" if some else f',"{name}":[{entry}'
+            some = True
+        if some:
+            yield "]"
+    yield "}"
 
 
 @dataclass
@@ -223,7 +228,7 @@ class Sized:
     """What is written: the head (summary, review summary, warnings) and the detail records that stay."""
 
     summary: dict
-    review: str | None
+    review: bool
     warnings: list[dict]
     details: DataFrame
 
@@ -243,9 +248,9 @@ def sized(report: Report, limits: Limits, form: str) -> Sized:
             omissions.append(sizing.omission("records", "max_records", total, limits.max_records, total - limits.max_records))
             total = limits.max_records
     head = _summary_object(report, [])
-    review = review_summary(report) if limits.review_summary else None
     warnings = _warning_objects(report)
     if limits.budget_tokens:
+        review = sum(len(x.encode()) for x in review_summary(report)) if limits.review_summary else None
         text = F.col("typed") if form == "jsonl" else F.col("plain")
         rows = cut(rows.withColumn("bytes", F.octet_length(text)), "details")
         shape = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count_distinct("class").alias("classes")).first()
@@ -264,28 +269,30 @@ def sized(report: Report, limits: Limits, form: str) -> Sized:
         if tokens_of(shape["bytes"], shape["n"], omissions) > limits.budget_tokens:
             kept, omissions = sizing.fit_budget(rows, shape["n"], omissions, limits.budget_tokens, tokens_of)
             rows = sizing.top_records(rows, kept)
-    return Sized(head | _omission_objects(omissions), review, warnings, rows)
+    return Sized(head | _omission_objects(omissions), limits.review_summary, warnings, rows)
 
 
 LISTS = ["files", "changed_symbols", "deleted_symbols", "contexts", "moved_symbols", "removed_calls", "entry_points", "nodes"]
 
 
-def _frame_bytes(head: dict, review: str | None, warnings: list[dict], form: str) -> int:
-    """Bytes of everything but detail records and what separates them."""
+REVIEW = {"jsonl": '{"type":"review_summary",', "json": ',"review_summary":{'}
+
+
+def _frame_bytes(head: dict, review: int | None, warnings: list[dict], form: str) -> int:
+    """Bytes of everything but detail records and what separates them. `review`: bytes of the review summary, if any."""
+    more = len(REVIEW[form]) + review if review is not None else 0
     if form == "jsonl":
-        lines = [_compact({"type": "summary"} | head)]
-        if review is not None:
-            lines.append('{"type":"review_summary",' + review[1:])
-        lines += [_compact({"type": "warning"} | w) for w in warnings]
-        return sum(len(x.encode()) + 1 for x in lines)
-    return len((_object_head(head, review, warnings) + "".join(f',"{name}":[]' for name in LISTS) + "}\n").encode())
+        lines = [_compact({"type": "summary"} | head), *(_compact({"type": "warning"} | w) for w in warnings)]
+        return sum(len(x.encode()) + 1 for x in lines) + more + (review is not None)
+    return len((_object_head(head) + _object_warnings(warnings) + "".join(f',"{name}":[]' for name in LISTS) + "}\n").encode()) + more
+
+
+def _object_head(head: dict) -> str:
+    return f'{{"schema_version":{_compact(head["schema_version"])},"summary":{_compact(head)}'
 
 
-def _object_head(head: dict, review: str | None, warnings: list[dict]) -> str:
-    out = f'{{"schema_version":{_compact(head["schema_version"])},"summary":{_compact(head)}'
-    if review is not None:
-        out += f',"review_summary":{review}'
-    return out + (f',"warnings":{_compact(warnings)}' if warnings else "")
+def _object_warnings(warnings: list[dict]) -> str:
+    return f',"warnings":{_compact(warnings)}' if warnings else ""
 
 
 ORDER = ["class", "ord", "k1", "k2", "k3"]
@@ -295,8 +302,10 @@ def write_jsonl(report: Report, out: TextIO, limits: Limits | None = None) -> No
     """One JSON object a line, in the fixed order of sections. Records stream through the driver one by one."""
     made = sized(report, limits or Limits(), "jsonl")
     out.write(_compact({"type": "summary"} | made.summary) + "\n")
-    if made.review is not None:
-        out.write('{"type":"review_summary",' + made.review[1:] + "\n")
+    if made.review:
+        out.write(REVIEW["jsonl"])
+        out.writelines(review_summary(report))
+        out.write("\n")
     for warning in made.warnings:
         out.write(_compact({"type": "warning"} | warning) + "\n")
     for r in made.details.orderBy(*ORDER).select("typed").toLocalIterator():
@@ -306,7 +315,11 @@ def write_jsonl(report: Report, out: TextIO, limits: Limits | None = None) -> No
 def write_json(report: Report, out: TextIO, limits: Limits | None = None) -> None:
     """One JSON object with a list for each class of records; empty lists are written, too."""
     made = sized(report, limits or Limits(), "json")
-    out.write(_object_head(made.summary, made.review, made.warnings))
+    out.write(_object_head(made.summary))
+    if made.review:
+        out.write(REVIEW["json"])
+        out.writelines(review_summary(report))
+    out.write(_object_warnings(made.warnings))
     at = -1
     for r in made.details.orderBy(*ORDER).select("class", "plain").toLocalIterator():
         comma = r["class"] == at

@@ -157,6 +157,15 @@ def test_object_form_and_limits(spark):
     got, _ = lines(review_summary=True, max_records=1)
     assert got[1]["type"] == "review_summary" and [f["path"] for f in got[1]["changed_production_files"]] == ["desk.go", "pack_b.go"]
     assert got[1]["risky_removed_call_edges"][0]["to"] == "desk.go::shop.Ledger.Note" and len(got) == 3
+    got, size = lines(review_summary=True, budget_tokens=700)
+    assert size <= 2800 and [x["type"] for x in got[:2]] == ["summary", "review_summary"] and got[0]["omissions"][-1]["reason"] == "budget_tokens"
+    out = io.StringIO()
+    report.write_json(made, out, Limits(review_summary=True))
+    whole = json.loads(out.getvalue())
+    assert list(whole)[:3] == ["schema_version", "summary", "review_summary"] and whole["review_summary"] == {k: v for k, v in got[1].items() if k != "type"}
+    out = io.StringIO()
+    report.write_json(made, out, Limits(review_summary=True, budget_tokens=600))
+    assert len(out.getvalue().encode()) <= 2400 and json.loads(out.getvalue())["summary"]["omissions"]
     with pytest.raises(ValueError):
         lines(max_records=-1)
 
