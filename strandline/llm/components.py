@@ -1,4 +1,8 @@
-"""Connected components of links between documents, by alternating large and small stars over DataFrames."""
+"""Connected components of links between documents, by alternating large and small stars over DataFrames.
+
+A node's least neighbour is found with partial aggregation. The join that hands it out is on the node, so a hub's links meet
+in one partition, rows of two numbers; Spark's handling of skewed joins splits it where it grows large.
+"""
 
 from __future__ import annotations
 

@@ -80,7 +80,7 @@ def test_search_beats_best_fit_on_real_lengths(spark):
     rows = packing.pieces(docs).groupBy("length").count().collect()
     counts = {r["length"]: r["count"] for r in rows if r["length"] < packing.CAPACITY}
     first = packing.best_fit(counts, packing.CAPACITY)
-    best = packing.search(spark, counts, packing.CAPACITY)
+    best = packing.search(spark, counts, packing.CAPACITY, islands=3, epochs=4)
     assert whole(best, counts, packing.CAPACITY)
     assert packing.bound(counts, packing.CAPACITY) <= sum(best.values()) < sum(first.values()) == 456
 
