@@ -6,7 +6,7 @@ package is left out; any other selector counts by its bare name; other callees a
 
 from __future__ import annotations
 
-from strandline.sources.syntax.lexer import Call, Extract, Source, Symbol
+from strandline.sources.syntax.lexer import Call, Extract, Source, Symbol, SyntaxProblem
 
 KEYWORDS = frozenset(
     "break case chan const continue default defer else fallthrough for func go goto if import interface map package "
@@ -75,13 +75,17 @@ class _File:
         if s.at(i) == "(":
             receiver = self.receiver(i + 1, s.partner[i])
             i = s.partner[i] + 1
-        if not s.is_name(i, KEYWORDS):
+        elif not s.is_name(i, KEYWORDS):
+            raise SyntaxProblem("func without a name or parameters")
+        if not s.is_name(i, KEYWORDS):  # a function type or literal
             return i, []
         name = s.at(i)
         i += 1
         if s.at(i) == "[":
             i = s.partner[i] + 1
         if s.at(i) != "(":
+            if receiver is None:
+                raise SyntaxProblem("a function without parameters")
             return i, []
         i = s.partner[i] + 1
         while i < len(self.tokens) and not self.tokens[i].broken:  # the result, then the body

@@ -34,7 +34,7 @@ def test_go_callees():
         "f", "Service.Do", "Repo.Find", "x", "Run", "Deep", "T.Q", "W", "Z", "closure", "As", "Par", "d", "c", "b", "cond", "run",
     ]
     assert {c.line for c in got.calls if c.target in "bc"} == {7}
-    for broken in ("package p\nfunc F() {", 'package p\nvar x = "abc\n', "package p\nfunc F() { ( }", "package p /* x"):
+    for broken in ("package p\nfunc F() {", 'package p\nvar x = "abc\n', "package p\nfunc F() { ( }", "package p /* x", "package p\nfunc 1x() {}\n", "package p\nfunc F {}\n"):
         with pytest.raises(SyntaxProblem):
             golang.extract(broken)
 
