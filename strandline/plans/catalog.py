@@ -638,6 +638,33 @@ def _report(spark, sf_dir) -> report.Report:
     return report.build(Changes(files, hunks, lines), added, report.Snapshot(current, now), report.Snapshot(base, old))
 
 
+#: From added lines to every class of detail records: keys of all, and what is written of those that are told by names.
+REPORT = with_("added", "edges_cur", "edges_base", "sym_cur", "sym_base") + f""", {MOVES},
+kept_lines AS (SELECT a.path, a.line_no FROM added a WHERE NOT EXISTS (
+  SELECT 1 FROM moves m WHERE m.body_equal AND m.path = a.path AND a.line_no BETWEEN m.start_line AND m.end_line)),
+changed AS (SELECT DISTINCT s.name FROM kept_lines a JOIN sym_cur s ON a.path = s.path AND a.line_no BETWEEN s.start_line AND s.end_line)""" + WALK + f""",
+{RELATED.replace(MOVES + ',', '').strip()}, {REMOVED.replace(MOVES + ',', '').strip()}, ids AS (SELECT name, path || '::' || name AS id FROM sym_cur),
+dead AS (SELECT path || '::' || name AS id FROM sym_base
+  WHERE path || '::' || name NOT IN (SELECT id FROM ids) AND path || '::' || name NOT IN (SELECT from_id FROM moves)),
+files AS (SELECT DISTINCT CAST(regexp_extract(path, 'file([0-9]+)', 1) AS BIGINT) * 2 + CASE WHEN path LIKE 'moved/%' THEN 1 ELSE 0 END AS ord FROM added)
+SELECT 0 AS class, ord, '' AS k1, '' AS k2, '' AS k3, '' AS record FROM files
+UNION ALL SELECT 1, 0, id, '', '', '{{"type":"changed_symbol","id":"' || id || '"}}' FROM ids WHERE name IN (SELECT name FROM changed) AND name NOT IN (SELECT name FROM gone)
+UNION ALL SELECT 2, 0, id, '', '', '{{"type":"deleted_symbol","id":"' || id || '"}}' FROM dead
+UNION ALL SELECT 3, 0, i.id, x.relationship, x.related_to, '' FROM ids i JOIN (SELECT * FROM related
+  UNION ALL SELECT name, 'changed_declaration', '' FROM changed WHERE name NOT IN (SELECT name FROM gone)) x ON x.name = i.name
+UNION ALL SELECT 4, 0, from_id, to_id, '', '{{"type":"moved_symbol","from":"' || from_id || '","to":"' || to_id || '","body_sha256_equal":' || body_equal || '}}' FROM moves
+UNION ALL SELECT 5, 0, from_id, to_id, '', '{{"type":"removed_call","from":"' || from_id || '","to":"' || to_id || '","call_site":{{"path":"' || site_path || '","line":' || site_line || '}}}}' FROM removed
+UNION ALL SELECT 6, 0, id, '', '', '{{"type":"entry_point","id":"' || id || '"}}' FROM ids WHERE name IN (SELECT name FROM chains)
+UNION ALL SELECT 7, 0, id, '', '', '' FROM ids WHERE name IN (SELECT name FROM on_chain)"""
+
+
+@query(REPORT)
+def report_rows(spark, sf_dir):
+    rows = report.details(_report(spark, sf_dir), Limits())
+    told = F.when(F.col("class").isin(0, 3, 7), "").otherwise(F.col("typed"))
+    return rows.select("class", "ord", "k1", "k2", "k3", told.alias("record"))
+
+
 @query()
 def report_records(spark, sf_dir):
     """Every detail record as JSON, with its class and sort keys."""
