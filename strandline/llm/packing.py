@@ -15,6 +15,7 @@ length is arbitrary.
 
 from __future__ import annotations
 
+import pickle
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -29,7 +30,7 @@ from pyspark.sql.types import _parse_datatype_string
 from . import common, tokens
 
 CAPACITY, END_ID = 1024, 2
-ISLANDS, EPOCHS, PATIENCE, GENERATIONS, POPULATION = 6, 12, 3, 40, 6
+ISLANDS, EPOCHS, PATIENCE, GENERATIONS, POPULATION = 6, 10, 3, 25, 6
 #: Rows that a task ranks among pieces of one length, about.
 RANKED = 200_000
 SALTS = 1 << 16
@@ -242,7 +243,7 @@ def bound(counts: dict[int, int], capacity: int) -> int:
 
 
 def _frame(island: int, population: list[Plan]) -> dict:
-    return {"island": island, "plans": repr([list(p.items()) for p in population])}
+    return {"island": island, "plans": pickle.dumps([list(p.items()) for p in population])}
 
 
 def search(
@@ -250,8 +251,6 @@ def search(
     patience: int = PATIENCE, generations: int = GENERATIONS, population: int = POPULATION, seed: int = 7,
 ) -> Plan:
     """The best plan found for `counts`; islands are tasks, whose elites migrate between epochs."""
-    from ast import literal_eval
-
     if not counts:
         return {}
     first = best_fit(counts, capacity)
@@ -267,13 +266,13 @@ def search(
             for frame in frames:
                 made = []
                 for island, plans in zip(frame["island"], frame["plans"], strict=True):
-                    group = sorted((dict(p) for p in literal_eval(plans)), key=lambda p: score(p, capacity))
+                    group = sorted((dict(p) for p in pickle.loads(plans)), key=lambda p: score(p, capacity))
                     made.append(_frame(island, evolve(group, capacity, seed + 1000 * epoch + int(island), generations, least)))
                 yield pd.DataFrame(made, columns=["island", "plans"])
 
-        sent = spark.createDataFrame([_frame(i, p) for i, p in enumerate(everyone)], "island long, plans string")
-        back = sent.repartitionByRange(islands, "island").mapInPandas(run, "island long, plans string").collect()  # `islands` rows
-        everyone = [[dict(p) for p in literal_eval(r["plans"])] for r in sorted(back, key=lambda r: r["island"])]
+        sent = spark.createDataFrame([_frame(i, p) for i, p in enumerate(everyone)], "island long, plans binary")
+        back = sent.mapInPandas(run, "island long, plans binary").collect()  # `islands` rows, each in a slice of its own
+        everyone = [[dict(p) for p in pickle.loads(r["plans"])] for r in sorted(back, key=lambda r: r["island"])]
         elites = [min(group, key=lambda p: score(p, capacity)) for group in everyone]
         for i, group in enumerate(everyone):
             group[-1] = elites[i - 1]  # from the neighbour in the ring
