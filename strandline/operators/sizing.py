@@ -8,7 +8,8 @@ bytes, so only a bounded head of the ranking reaches the driver.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,10 @@ CLASSES = ["file", "changed_symbol", "deleted_symbol", "declaration_context", "m
 LEAST_RECORD = 16
 
 
+NAMES = [f.split()[0] for f in OMISSIONS.split(", ")]
+COUNTS = ("original_count", "emitted_count", "omitted_count")
+
+
 @dataclass(frozen=True)
 class Limits:
     max_lines_per_hunk: int = 0
@@ -76,16 +81,32 @@ def limited_contexts(contexts: DataFrame, most: int) -> tuple[DataFrame, DataFra
 
 def rolled_up(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Counts of omission rows by `keys`, in their order; the other texts are empty."""
-    out = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("original_count", "emitted_count", "omitted_count")])
+    out = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS])
     for name in ("kind", "reason", "path", "record_type"):
         if name not in keys:
             out = out.withColumn(name, F.lit(""))
-    return out.orderBy(*keys).select([f.split()[0] for f in OMISSIONS.split(", ")])
+    return out.orderBy(*keys).select(NAMES)
+
+
+@dataclass
+class Omissions:
+    """Omission rows in order: a few, then those of contexts by path, which may be many, then a few."""
+
+    first: list[dict]
+    rolled: DataFrame | None = None
+    last: list[dict] = field(default_factory=list)
+
+    def __iter__(self) -> Iterator[dict]:
+        yield from self.first
+        if self.rolled is not None:
+            for r in self.rolled.toLocalIterator():
+                yield r.asDict()
+        yield from self.last
 
 
-def shown_omissions(hunks: DataFrame | None, contexts: DataFrame | None) -> list[dict]:
+def shown_omissions(hunks: DataFrame | None, contexts: DataFrame | None) -> Omissions:
     """Omission rows as they are shown: up to DETAIL_ROWS of a kind one by one, else rolled up."""
-    names = [f.split()[0] for f in OMISSIONS.split(", ")]
+    names = NAMES
     out: list[dict] = []
     late: list[dict] = []
     if hunks is not None:
@@ -97,26 +118,33 @@ def shown_omissions(hunks: DataFrame | None, contexts: DataFrame | None) -> list
     if contexts is not None:
         head = contexts.orderBy("id", "relationship", "related_to").limit(DETAIL_ROWS + 1).select(names).collect()
         if len(head) <= DETAIL_ROWS:
-            return out + [r.asDict() for r in head] + late
-        rolled = rolled_up(contexts, ["kind", "reason", "path", "record_type"]).toLocalIterator()
-        return out + late + [r.asDict() for r in rolled]
-    return out + late
+            return Omissions(out + [r.asDict() for r in head] + late)
+        return Omissions(out + late, rolled_up(contexts, ["kind", "reason", "path", "record_type"]))
+    return Omissions(out + late)
 
 
-def budget_omissions(rows: list[dict]) -> list[dict]:
+def budget_omissions(given: list[dict] | Omissions) -> list[dict]:
     """Omission rows by kind and reason, and a row that says how many there were."""
-    if len(rows) <= 1:
-        return rows
+    rolled = getattr(given, "rolled", None)
+    rows, total = [*given.first, *given.last] if isinstance(given, Omissions) else given, 0
+    if rolled is not None:  # a row for each kind and reason, and how many rows it stands for
+        sums = rolled.groupBy("kind", "reason").agg(F.count("*").alias("rows"), *(F.sum(c).alias(c) for c in COUNTS)).collect()
+        total = sum(r["rows"] for r in sums)
+        rows = rows + [omission(r["kind"], r["reason"], *(r[c] for c in COUNTS)) for r in sums]
+        total -= len(sums)
+    total += len(rows)
+    if total <= 1:
+        return [*given]
     groups: dict[tuple[str, str], dict] = {}
     for r in rows:
         if (r["kind"], r["reason"]) == ("omission_metadata", "budget_tokens"):
             continue
         own = groups.setdefault((r["kind"], r["reason"]), omission(r["kind"], r["reason"], 0, 0, 0))
-        for c in ("original_count", "emitted_count", "omitted_count"):
+        for c in COUNTS:
             own[c] += r[c]
     out = [groups[k] for k in sorted(groups)]
-    if len(rows) > len(out):
-        out.append(omission("omission_metadata", "budget_tokens", len(rows), len(out) + 1, len(rows) - len(out) - 1))
+    if total > len(out):
+        out.append(omission("omission_metadata", "budget_tokens", total, len(out) + 1, total - len(out) - 1))
     return out
 
 
@@ -141,7 +169,7 @@ def top_records(details: DataFrame, most: int) -> DataFrame:
     return details.orderBy(*PRIORITY).limit(most)
 
 
-def fit_budget(details: DataFrame, total: int, omissions: list[dict], budget: int, tokens_of) -> tuple[int, list[dict]]:
+def fit_budget(details: DataFrame, total: int, omissions: list[dict] | Omissions, budget: int, tokens_of) -> tuple[int, list[dict]]:
     """How many records fit, and the omission rows that go with them. `tokens_of(record bytes, count, omissions)`
     estimates the whole report. The most that could fit is bounded by the budget's bytes."""
     rows = budget_omissions(omissions)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import TextIO
 
@@ -173,17 +173,21 @@ def _compact(value) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def _summary_object(report: Report, omissions: list[dict]) -> dict:
+def _summary_object(report: Report) -> dict:
     row = summary(report).first().asDict()
     out = {"schema_version": row["schema_version"]}
     out |= {k: row[k] for k in ("files", "test_files", "changed_symbols", "deleted_symbols", "moved_symbols", "removed_calls", "entry_points", "nodes")}
-    out["context_records"] = {k: row[k] for k in ("total", "declaration_context", "related_declaration_context")}
-    return out | _omission_objects(omissions)
+    return out | {"context_records": {k: row[k] for k in ("total", "declaration_context", "related_declaration_context")}}
 
 
-def _omission_objects(omissions: list[dict]) -> dict:
-    shown = [{k: v for k, v in r.items() if not (k in ("path", "record_type") and not v)} for r in omissions]
-    return {"omissions": shown} if shown else {}
+def _summary_text(head: dict, omissions: Iterable[dict]) -> Iterator[str]:
+    """The summary's JSON object piece by piece, with the omission rows at its end, if there are any."""
+    yield _compact(head)[:-1]
+    some = False
+    for r in omissions:
+        yield ("," if some else ',"omissions":[') + _compact({k: v for k, v in r.items() if v or k not in ("path", "record_type")})
+        some = True
+    yield "]}" if some else "}"
 
 
 def _warning_objects(report: Report) -> list[dict]:
@@ -228,6 +232,7 @@ class Sized:
     """What is written: the head (summary, review summary, warnings) and the detail records that stay."""
 
     summary: dict
+    omissions: Iterable[dict]
     review: bool
     warnings: list[dict]
     details: DataFrame
@@ -245,9 +250,9 @@ def sized(report: Report, limits: Limits, form: str) -> Sized:
         total = rows.count()
         if total > limits.max_records:
             rows = sizing.top_records(rows, limits.max_records)
-            omissions.append(sizing.omission("records", "max_records", total, limits.max_records, total - limits.max_records))
+            omissions.last.append(sizing.omission("records", "max_records", total, limits.max_records, total - limits.max_records))
             total = limits.max_records
-    head = _summary_object(report, [])
+    head = _summary_object(report)
     warnings = _warning_objects(report)
     if limits.budget_tokens:
         review = sum(len(x.encode()) for x in review_summary(report)) if limits.review_summary else None
@@ -256,8 +261,8 @@ def sized(report: Report, limits: Limits, form: str) -> Sized:
         shape = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count_distinct("class").alias("classes")).first()
         classes = {r["class"]: r["n"] for r in rows.groupBy("class").agg(F.count("*").alias("n")).collect()}  # as many as classes
 
-        def tokens_of(n_bytes: int, n: int, own: list[dict]) -> int:
-            frame = _frame_bytes(head | _omission_objects(own), review, warnings, form)
+        def tokens_of(n_bytes: int, n: int, own: Iterable[dict]) -> int:
+            frame = _frame_bytes(head, own, review, warnings, form)
             if form == "jsonl":
                 return sizing.tokens(frame + n_bytes + n)
             used, left = 0, n  # commas between the records of a list: one fewer than there are
@@ -269,7 +274,7 @@ def sized(report: Report, limits: Limits, form: str) -> Sized:
         if tokens_of(shape["bytes"], shape["n"], omissions) > limits.budget_tokens:
             kept, omissions = sizing.fit_budget(rows, shape["n"], omissions, limits.budget_tokens, tokens_of)
             rows = sizing.top_records(rows, kept)
-    return Sized(head | _omission_objects(omissions), limits.review_summary, warnings, rows)
+    return Sized(head, omissions, limits.review_summary, warnings, rows)
 
 
 LISTS = ["files", "changed_symbols", "deleted_symbols", "contexts", "moved_symbols", "removed_calls", "entry_points", "nodes"]
@@ -278,17 +283,18 @@ LISTS = ["files", "changed_symbols", "deleted_symbols", "contexts", "moved_symbo
 REVIEW = {"jsonl": '{"type":"review_summary",', "json": ',"review_summary":{'}
 
 
-def _frame_bytes(head: dict, review: int | None, warnings: list[dict], form: str) -> int:
+def _frame_bytes(head: dict, omissions: Iterable[dict], review: int | None, warnings: list[dict], form: str) -> int:
     """Bytes of everything but detail records and what separates them. `review`: bytes of the review summary, if any."""
     more = len(REVIEW[form]) + review if review is not None else 0
     if form == "jsonl":
-        lines = [_compact({"type": "summary"} | head), *(_compact({"type": "warning"} | w) for w in warnings)]
-        return sum(len(x.encode()) + 1 for x in lines) + more + (review is not None)
-    return len((_object_head(head) + _object_warnings(warnings) + "".join(f',"{name}":[]' for name in LISTS) + "}\n").encode()) + more
+        more += sum(len(_compact({"type": "warning"} | w).encode()) + 1 for w in warnings) + 1 + (review is not None)
+        return sum(len(x.encode()) for x in _summary_text({"type": "summary"} | head, omissions)) + more
+    own = _object_head(head) + _object_warnings(warnings) + "".join(f',"{name}":[]' for name in LISTS) + "}\n"
+    return len(own.encode()) + sum(len(x.encode()) for x in _summary_text(head, omissions)) + more
 
 
 def _object_head(head: dict) -> str:
-    return f'{{"schema_version":{_compact(head["schema_version"])},"summary":{_compact(head)}'
+    return f'{{"schema_version":{_compact(head["schema_version"])},"summary":'
 
 
 def _object_warnings(warnings: list[dict]) -> str:
@@ -301,7 +307,8 @@ ORDER = ["class", "ord", "k1", "k2", "k3"]
 def write_jsonl(report: Report, out: TextIO, limits: Limits | None = None) -> None:
     """One JSON object a line, in the fixed order of sections. Records stream through the driver one by one."""
     made = sized(report, limits or Limits(), "jsonl")
-    out.write(_compact({"type": "summary"} | made.summary) + "\n")
+    out.writelines(_summary_text({"type": "summary"} | made.summary, made.omissions))
+    out.write("\n")
     if made.review:
         out.write(REVIEW["jsonl"])
         out.writelines(review_summary(report))
@@ -316,6 +323,7 @@ def write_json(report: Report, out: TextIO, limits: Limits | None = None) -> Non
     """One JSON object with a list for each class of records; empty lists are written, too."""
     made = sized(report, limits or Limits(), "json")
     out.write(_object_head(made.summary))
+    out.writelines(_summary_text(made.summary, made.omissions))
     if made.review:
         out.write(REVIEW["json"])
         out.writelines(review_summary(report))

@@ -252,6 +252,25 @@ def test_compacted_files_hide_content(spark):
     assert made.contexts.count() == 0
 
 
+def test_contexts_roll_up_by_path(spark):
+    cur = {f"f{k:02}.go": f"package p\nfunc F{k}() {{\n x()\n y()\n}}\n" for k in range(22)}
+    text = "".join(section(path, "@@ -3 +3 @@\n- a()\n+ x()\n") for path in cur)
+    made = built(spark, cur, None, text)
+
+    def head(**limits):
+        out = io.StringIO()
+        report.write_jsonl(made, out, Limits(max_context_lines=1, **limits))
+        return json.loads(out.getvalue().splitlines()[0])["omissions"], len(out.getvalue().encode())
+
+    rows, size = head()
+    assert [r["path"] for r in rows] == sorted(cur) and {r["kind"] for r in rows} == {"context_lines"}
+    assert {(r["original_count"], r["emitted_count"], r["omitted_count"]) for r in rows} == {(4, 1, 3)}
+    assert head(budget_tokens=-(-size // 4))[0] == rows
+    rows, size = head(budget_tokens=400)
+    assert size <= 1600 and rows[0] == {"kind": "context_lines", "reason": "max_context_lines", "original_count": 88, "emitted_count": 22, "omitted_count": 66}
+    assert rows[1] == {"kind": "omission_metadata", "reason": "budget_tokens", "original_count": 22, "emitted_count": 2, "omitted_count": 20}
+
+
 def test_omissions_roll_up(spark):
     rows = [sizing.omission("hunk_lines", "max_lines_per_hunk", 2, 1, 1, f"f{k}") for k in range(25)]
     assert sizing.budget_omissions(rows)[0]["omitted_count"] == 25
