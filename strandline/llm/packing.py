@@ -23,6 +23,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
@@ -31,15 +32,12 @@ from . import common, tokens
 
 CAPACITY, END_ID = 1024, 2
 ISLANDS, EPOCHS, PATIENCE, GENERATIONS, POPULATION = 6, 10, 3, 25, 6
-#: Rows that a task ranks among pieces of one length, about.
-RANKED = 200_000
-SALTS = 1 << 16
 #: Bins that one try to settle a plan empties, and tries for each child.
 GROUPS, TRIES = (4, 8, 16, 32, 64), 30
 
 Plan = dict[tuple[int, ...], int]  # from lengths in a bin, longest first, to the number of such bins
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -48,7 +46,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
     path = vocabulary or tokens.vocabulary()
 
     def start():
-        encode, end, seen = tokens.encoder(path), np.array([end_id], "<u4").tobytes(), [0]
+        encode, end, seen, part = tokens.encoder(path), np.array([end_id], "<u4").tobytes(), Counter(), TaskContext.get().partitionId()
 
         def step(cols: dict) -> dict:
             rows = []
@@ -57,9 +55,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    seen[0] += 1
-                    rows.append((doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), seen[0] % SALTS))
-            return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32", "salt"), map(list, zip(*rows)), strict=True))
+                    rows.append((doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), part, seen[b - a]))
+                    seen[b - a] += 1
+            return dict(zip([f.split()[0] for f in PIECES.split(", ")], map(list, zip(*rows)), strict=True))
 
         return step
 
@@ -309,16 +307,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
         plan[(capacity,)] = counts[capacity]
     where = slots(plan)
 
-    # Ranks among equal lengths, without a task that holds all of a length: by salted parts and the parts' sizes.
-    parts = max(1, -(-sum(counts.values()) // RANKED))
-    parted = cut.withColumn("part", F.col("salt") % parts)
-    sizes = parted.groupBy("length", "part").agg(F.count("*").alias("n"))
+    # Ranks among equal lengths: a piece knows its number among those of its length in the task that cut it, to which the
+    # pieces of the tasks before are added. No task sees all pieces of a length. A row per length and task, beside texts.
+    sizes = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = sizes.select(
         "length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before")
     )
-    # A row per length and part: at most `capacity` a RANKED pieces, beside texts thousands of times their size.
-    ranked = parted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")))
-    ranked = ranked.join(before, ["length", "part"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
+    ranked = cut.join(before, ["length", "part"]).withColumn("rank", F.col("number") + F.col("before"))
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 

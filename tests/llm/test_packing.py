@@ -103,12 +103,8 @@ def test_every_piece_has_its_place(spark):
     rows = [(k, " ".join("word" for _ in range(rng.choice([0, 1, 5, 30, 30, 30, 200, 2500]))), 7) for k in range(300)]
     rows += [(None, None, 0), (5, rows[5][1], 0), (5, rows[5][1], 0), (None, "", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, rank int")
-    old = packing.RANKED
-    packing.RANKED = 40
-    try:
-        got = packing.pack(docs).toPandas()
-    finally:
-        packing.RANKED = old
+    got = packing.pack(docs.repartition(7)).toPandas()
+    assert len(got) == sum(-(-(len((t or "").split()) + 1) // 1024) for _, t, _ in rows)
     assert len(set(zip(got.sequence_id, got.offset))) == len(got)
     for _, part in got.groupby("sequence_id"):
         part = part.sort_values("offset")
