@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,41 @@ def map_batches(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, kind)
 
 
+#: Bits of a bit table (as powers of two), bits for each hash, and bits of the table in one row.
+LEAST_BITS, MOST_BITS, PER_HASH, CHUNK = 16, 27, 32, 16
+
+
+def bit_table(hashes: DataFrame) -> tuple[int, np.ndarray]:
+    """Of one column of hashes: bits (as a power of two), and a table with a bit for the leading bits of each, of at most
+    1 << MOST_BITS bits whatever the number of rows. What it lets through is a superset, which a join makes exact."""
+    bits = min(max((PER_HASH * hashes.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    place = F.shiftrightunsigned(F.col(hashes.columns[0]), 64 - bits)
+    rows = hashes.select(F.shiftright(place, CHUNK).cast("int").alias("chunk"), F.pmod(place, F.lit(1 << CHUNK)).cast("int").alias("bit"))
+
+    def start():
+        def step(cols: dict) -> dict:
+            out = []
+            for own in cols["own"]:
+                flags = np.zeros(1 << CHUNK, np.uint8)
+                flags[own] = 1
+                out.append(np.packbits(flags).tobytes())
+            return {"chunk": cols["chunk"], "flags": out}
+
+        return step
+
+    chunks = map_columns(rows.groupBy("chunk").agg(F.collect_set("bit").alias("own")), "chunk int, flags binary", start)  # 1 << CHUNK in a set at most
+    table = np.zeros((1 << (bits - CHUNK), 1 << (CHUNK - 3)), np.uint8)
+    for r in chunks.collect():
+        table[r["chunk"]] = np.frombuffer(r["flags"], np.uint8)
+    return bits, table.ravel()
+
+
+def in_table(hashes: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
+    """Which of these unsigned hashes the table may hold."""
+    place = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return (table[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def column_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

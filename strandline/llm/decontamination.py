@@ -1,8 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts are sequences of lower-case words, words are numbers (hashes). Seeds are Karp-Rabin hashes of the windows of SEED words;
-items of fewer words are one seed of their own size. A bit table of all seeds of the benchmark (at most 1 << MOST_BITS bits,
-whatever its size) lets one pass over the documents keep only those with such windows, cut down to the words in them. Their
+items of fewer words are one seed of their own size. A bit table of all seeds of the benchmark (at most 1 << common.MOST_BITS bits,
+whatever its size; common.bit_table) lets one pass over the documents keep only those with such windows, cut down to the words in them. Their
 seeds are joined to the benchmark's, which gives the pairs of text and item that share one. Each pair is tiled: the longest
 match of words that are in no tile yet, at least SEED long, is marked again and again; running Karp-Rabin hashes tell whether
 there is a match of a given length, and halving the range of lengths finds the longest. Tiles may come in any order, so
@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from . import common
 
 SEED, COVERAGE = 5, 0.8
-#: Bits of the seeds' bit table (as powers of two), bits for each seed, and bits of the table in one row.
-LEAST_BITS, MOST_BITS, PER_SEED, CHUNK = 16, 27, 32, 16
 #: Words whose numbers a task remembers.
 REMEMBERED = 1 << 19
 _WORD = re.compile(r"\w+")
@@ -184,30 +182,6 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return common.written(made.where("size > 0"), "items")[0]
 
 
-def seed_table(seeds: DataFrame) -> tuple[int, np.ndarray]:
-    """Bits (as a power of two) and the bit table of the seeds' leading bits, of at most 1 << MOST_BITS bits."""
-    bits = min(max((PER_SEED * seeds.count()).bit_length(), LEAST_BITS), MOST_BITS)
-    place = F.shiftrightunsigned("seed", 64 - bits)
-    rows = seeds.select(F.shiftright(place, CHUNK).cast("int").alias("chunk"), F.pmod(place, F.lit(1 << CHUNK)).cast("int").alias("bit"))
-
-    def start():
-        def step(cols: dict) -> dict:
-            out = []
-            for own in cols["own"]:
-                flags = np.zeros(1 << CHUNK, np.uint8)
-                flags[own] = 1
-                out.append(np.packbits(flags).tobytes())
-            return {"chunk": cols["chunk"], "flags": out}
-
-        return step
-
-    chunks = common.map_columns(rows.groupBy("chunk").agg(F.collect_set("bit").alias("own")), "chunk int, flags binary", start)  # a set holds 1 << CHUNK at most
-    table = np.zeros((1 << (bits - CHUNK), 1 << (CHUNK - 3)), np.uint8)
-    for r in chunks.collect():
-        table[r["chunk"]] = np.frombuffer(r["flags"], np.uint8)
-    return bits, table.ravel()
-
-
 KEYS = ("k1", "k2")
 _KEYED = (F.xxhash64, lambda c: F.xxhash64(F.lit(1), c))
 
@@ -221,10 +195,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def reduced(docs: DataFrame, sizes: list[int], bits: int, table: np.ndarray) -> tuple[DataFrame, str]:
     """Documents with a window that may be a seed: doc_id, the text's key, the words in such windows, and their hashes."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # 1 << (MOST_BITS - 3) bytes at most
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # 1 << (common.MOST_BITS - 3) bytes at most
 
     def start():
-        number, flags, shift = Numbers(), shared.value, np.uint64(64 - bits)
+        number, flags = Numbers(), shared.value
 
         def step(cols: dict) -> dict | None:
             out: dict = {"doc_id": [], "k1": [], "k2": [], "words": [], "seeds": []}
@@ -233,8 +207,7 @@ def reduced(docs: DataFrame, sizes: list[int], bits: int, table: np.ndarray) ->
                 hits, found = [], []
                 for size in sizes:
                     hashes = windows(ids, size)
-                    place = (hashes >> shift).astype(np.int64)
-                    hit = (flags[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+                    hit = common.in_table(hashes, bits, flags)
                     if hit.any():
                         hits.append((size, hit))
                         found.append(hashes[hit])
@@ -261,7 +234,7 @@ def tainted(docs: DataFrame, benchmark: DataFrame, coverage: float) -> tuple[Dat
         sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # SEED at most
         if not sizes:
             return None
-        rows, rows_path = reduced(docs, sizes, *seed_table(seeds))
+        rows, rows_path = reduced(docs, sizes, *common.bit_table(seeds.select("seed")))
         texts, _ = common.written(rows.dropDuplicates(KEYS).drop("doc_id"), "texts")
         near = texts.select(*KEYS, F.explode("seeds").alias("seed")).join(seeds, "seed").select(*KEYS, "item").distinct()
         both = near.join(texts.select(*KEYS, "words"), [*KEYS]).join(items.drop("seeds", "size"), "item")

@@ -3,6 +3,7 @@ import tracemalloc
 
 import numpy as np
 
+from strandline.llm import common
 from strandline.llm import decontamination as d
 
 
@@ -94,13 +95,13 @@ def test_passages_whole_reordered_and_edited(spark, monkeypatch):
     docs = spark.createDataFrame(docs, "doc_id long, text string, item_id int")
     bench = spark.createDataFrame(bench, "item_id long, text string, doc_id int")
     want = sorted([(1, 0), (2, 1), (4, 3), (5, 6), (8, 0), (8, 4), (8, 0), (8, 4), (-1, 5), (9, 9)])
-    for most in (d.MOST_BITS, d.LEAST_BITS):
-        monkeypatch.setattr(d, "MOST_BITS", most)
+    for most in (common.MOST_BITS, common.LEAST_BITS):
+        monkeypatch.setattr(common, "MOST_BITS", most)
         got = d.contaminated(docs, bench).collect()
         assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["item_id"]) for r in got) == want
         kept = d.clean(docs, bench)
         assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 6, 7, 10]
-    monkeypatch.setattr(d, "seed_table", lambda seeds: (d.LEAST_BITS, np.full(1 << (d.LEAST_BITS - 3), 255, np.uint8)))
+    monkeypatch.setattr(common, "bit_table", lambda seeds: (common.LEAST_BITS, np.full(1 << (common.LEAST_BITS - 3), 255, np.uint8)))
     assert d.contaminated(docs, bench).count() == len(want)  # a full table lets every window through
     reordered = [r for r in d.contaminated(docs, bench).collect() if r["doc_id"] == 2][0]
     assert reordered["coverage"] == 1.0 and reordered["tiles"] == 3
