@@ -36,6 +36,12 @@ _FOLD = bytes(
 )
 
 
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: a bit is 1 if more than half of the hashes have it."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None) -> int:
     """64 bits: a bit is 1 if more than half of the shingles' XXH64 have it."""
     import xxhash
@@ -49,10 +55,7 @@ def fingerprint(text: str | None) -> int:
     n = max(1, len(words) - SHINGLE + 1)
     ends = (first + size)[min(SHINGLE, len(words)) - 1 :].tolist()
     hash_of = xxhash.xxh64_intdigest
-    hashes = [hash_of(line[a:b], SEED) for a, b in zip(first[:n].tolist(), ends, strict=True)]
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(n, 8), axis=1)
-    on = bits.sum(axis=0, dtype=np.int64) * 2 > n
-    return int.from_bytes(np.packbits(on).tobytes(), "big")
+    return majority(np.array([hash_of(line[a:b], SEED) for a, b in zip(first[:n].tolist(), ends, strict=True)], np.uint64))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -158,11 +161,11 @@ def forest(prints: np.ndarray, groups: np.ndarray, radius: int = RADIUS, skip: i
     for i, j in near(prints, groups, radius, skip):
         new = parent[i] != parent[j]
         joined = False
-        for a, b in zip(i[new].tolist(), j[new].tolist(), strict=True):
-            a, b = find(a), find(b)
+        for one, other in zip(i[new].tolist(), j[new].tolist(), strict=True):
+            a, b = find(one), find(other)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                out.append((a, b))
+                out.append((one, other))
                 joined = True
         while joined:  # every lane points to its root, so the test above sees all that is joined
             flat = parent[parent]
@@ -175,15 +178,25 @@ def links(prints: DataFrame, radius: int = RADIUS, cuts: int = CUTS, crowd: int
     """Spanning links (a, b) between near prints. `prints`: print, each once."""
     agreeing = masks(radius, cuts)
     band = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col("print").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for k, m in enumerate(agreeing)]))
-    rows = prints.select("print", band.alias("x")).select("x.band", "x.key", "print")
+    rows = meeting(prints.select("print", band.alias("x")).select("x.band", "x.key", "print"))
+    return compared(rows, [radius] * len(agreeing), agreeing, crowd)
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """Rows of buckets (band, key) that hold more than one, with their number `n`."""
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, ["band", "key"])
+    return rows.join(sizes, ["band", "key"])
+
+
+def compared(rows: DataFrame, radii: list[int], agreeing: list[int], crowd: int = CROWD, name: str = "print") -> DataFrame:
+    """Spanning links (a, b) within buckets, between the names of near prints. `rows`: band, key, n, print, and the name.
+    `radii`, `agreeing`: of each band the radius, and the bits that agree in its buckets."""
     # Crowded buckets: blocks of about `crowd` prints, and a group for each pair of blocks.
     blocks = F.ceil(F.col("n") / crowd).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(name), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "print")
-    keys = ["band", "key", "lo", "hi"]
+    keys, columns_of = ["band", "key", "lo", "hi"], dict.fromkeys(("print", name))
+    rows = rows.select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *columns_of)
     sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def start():
@@ -200,16 +213,16 @@ def links(prints: DataFrame, radius: int = RADIUS, cuts: int = CUTS, crowd: int
                 order = order[sizes[group[order]] > 1]
                 if not len(order):
                     continue
-                lanes = part[4, order]
-                found = forest(lanes.view(np.uint64), group[order], radius, agreeing[k])
-                out += [(int(lanes[a]), int(lanes[b])) for a, b in found]
+                found = forest(part[4, order].view(np.uint64), group[order], radii[k], agreeing[k])
+                names = part[-1, order]
+                out += [(int(names[a]), int(names[b])) for a, b in found]
             return out
 
         def columns(found: list[tuple[int, int]]) -> dict | None:
             return {"a": [a for a, _ in found], "b": [b for _, b in found]} if found else None
 
         def step(cols: dict) -> dict | None:
-            held.append(np.array([cols[c] for c in (*keys, "print")], np.int64))
+            held.append(np.array([cols[c] for c in (*keys, *columns_of)], np.int64))
             count[0] += held[-1].shape[1]
             if count[0] < LANES:
                 return None
