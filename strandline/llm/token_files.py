@@ -28,6 +28,7 @@ CHECKPOINT, BLOCK, LIMIT, TOGETHER = 256, 1 << 16, 16, 16
 #: Ids in a file, about, where that gives more files than there are cores.
 FILE = 1 << 26
 
+IDS = "doc_id long, n_tokens long, ids binary, content long, salt int, counted array<int>, counts array<long>"
 CODED = "doc_id long, n_tokens long, payload binary, bits binary, content long, salt int"
 BLOCKS = "part int, block int, start long, doc_ids binary, nulls binary, n_tokens binary, payload binary, bytes binary, marks binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -102,13 +103,15 @@ def encode_bits(runs: list[np.ndarray], codes: np.ndarray, lengths: np.ndarray)
     room = (total + 7) // 8
     base = 8 * (np.cumsum(room) - room)
     at = end[:-1] + np.repeat(base - end[first[:-1]], n)
-    wide = 24 if lengths.max(initial=0) <= 17 else 32  # a code word begins within a byte, so it may have 7 bits less
-    word = (codes << (wide - lengths.astype(np.uint32)))[ids] >> (at & 7).astype(np.uint32)
-    byte, m = at >> 3, int(room.sum()) + wide // 8
-    out = np.zeros(m, np.int64)
-    for k, shift in enumerate(range(wide - 8, -1, -8)):  # bits never overlap, so sums serve
-        out += np.bincount(byte + k, weights=(word >> shift) & 0xFF, minlength=m).astype(np.int64)
-    raw = out.astype(np.uint8).tobytes()
+    word, left = at >> 6, 64 - (at & 63) - size  # of 64 bits; bits that are left of it behind a code word
+    values, over = codes.astype(np.uint64)[ids], np.flatnonzero(left < 0)
+    placed = values << np.maximum(left, 0).astype(np.uint64)
+    placed[over] = values[over] >> (-left[over]).astype(np.uint64)
+    heads = np.flatnonzero(np.diff(word, prepend=-1))
+    out = np.zeros(int(room.sum()) // 8 + 2, np.uint64)
+    out[word[heads]] = np.bitwise_or.reduceat(placed, heads)
+    out[word[over] + 1] |= values[over] << (64 + left[over]).astype(np.uint64)
+    raw = out.astype(">u8").tobytes()
     return [
         (raw[b // 8 : b // 8 + r], at[s : s + k : CHECKPOINT] - b)
         for b, r, s, k in zip(base.tolist(), room.tolist(), first.tolist(), n.tolist(), strict=False)
@@ -159,43 +162,37 @@ def write(docs: DataFrame, end_id: int = END_ID, vocabulary: str | None = None,
     def ids_of():
         encode, seen = tokens.encoder(vocab), [0]
         small = len(encode.byte_lengths()) <= 1 << 16  # ids of two bytes, if they fit
+        total = np.zeros(0, np.int64)
 
         def step(cols: dict) -> dict:
+            nonlocal total
             made = [np.frombuffer(x, "<u4") for x in encode(cols["text"])]
             made = [np.append(x, np.uint32(end_id)) for x in made]
             seen[0] += len(made)
+            got = np.bincount(np.concatenate(made), minlength=len(total))
+            got[: len(total)] += total
+            total = got
             return {
                 "doc_id": cols["doc_id"], "n_tokens": [len(x) for x in made],
                 "ids": [x.astype("<u2" if small else "<u4").tobytes() for x in made],
                 "content": [_content(x) for x in made], "salt": [k & 0x7FFFFFFF for k in range(seen[0] - len(made), seen[0])],
+                "counted": [None] * len(made), "counts": [None] * len(made),
             }
 
+        def last() -> dict:  # one row more for each task: what it has counted
+            at = np.flatnonzero(total)
+            return {c: [None] for c in ("doc_id", "n_tokens", "ids", "content", "salt")} | {"counted": [at.tolist()], "counts": [total[at].tolist()]}
+
+        step.last = last
         return step
 
-    ids, ids_path = common.written(
-        common.map_columns(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids binary, content long, salt int", ids_of), "ids"
-    )
+    made, ids_path = common.written(common.map_columns(docs.select("doc_id", "text"), IDS, ids_of), "ids")
+    ids = made.where("counted IS NULL").drop("counted", "counts")
 
     def unpack(raw: bytes, n: int) -> np.ndarray:
         return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
 
-    def count():
-        total = np.zeros(0, np.int64)
-
-        def step(cols: dict) -> None:
-            nonlocal total
-            got = np.bincount(np.concatenate([unpack(x, n) for x, n in zip(cols["ids"], cols["n_tokens"], strict=True)]))
-            total = np.pad(total, (0, max(0, len(got) - len(total))))
-            total[: len(got)] += got
-
-        def last() -> dict:
-            at = np.flatnonzero(total)
-            return {"id": at.tolist(), "n": total[at].tolist()}
-
-        step.last = last
-        return step
-
-    tally = common.map_columns(ids.select("ids", "n_tokens"), "id int, n long", count)
+    tally = made.where("counted IS NOT NULL").select(F.explode(F.arrays_zip("counted", "counts")).alias("x")).select(F.col("x.counted").alias("id"), F.col("x.counts").alias("n"))
     rows = tally.groupBy("id").agg(F.sum("n").alias("n")).collect()  # one for each id of the vocabulary at most
     counts = np.zeros(max((r["id"] for r in rows), default=-1) + 1, np.int64)
     for r in rows:
@@ -206,6 +203,7 @@ def write(docs: DataFrame, end_id: int = END_ID, vocabulary: str | None = None,
     shared = spark.sparkContext.broadcast((canonical(lengths), lengths))  # five bytes an id of the vocabulary
 
     def code():
+        tokens.forget()
         codes, lengths = shared.value
 
         def step(cols: dict) -> dict:
@@ -279,6 +277,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     shared = spark.sparkContext.broadcast(book)
 
     def start():
+        tokens.forget()
         limit = max(1, int(shared.value.max(initial=0)))
         table = decode_table(shared.value, limit)
 

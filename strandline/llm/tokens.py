@@ -150,3 +150,8 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Drop this worker's encoders: a task that encodes no texts has no use for their caches."""
+    _ENCODERS.clear()

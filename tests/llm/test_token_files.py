@@ -111,3 +111,24 @@ def test_more_ids_than_sixteen_bits_number():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.read(spark, token_files.write(docs)).collect() == []
+
+
+def test_code_words_across_words_of_64_bits():
+    rng = np.random.default_rng(8)
+    lengths = token_files.code_lengths(np.array([int(1.6**k) + 1 for k in range(40)]), 19)
+    codes = token_files.canonical(lengths)
+    runs = [rng.integers(0, 40, n).astype(np.uint32) for n in (1, 2, 63, 256, 3000)] + [np.zeros(0, np.uint32), np.full(9, 39, np.uint32)]
+    for run, (raw, marks) in zip(runs, token_files.encode_bits(runs, codes, lengths), strict=True):
+        bits = "".join(f"{codes[i]:0{lengths[i]}b}" for i in run)
+        assert raw == int(bits + "0" * (-len(bits) % 8) or "0", 2).to_bytes((len(bits) + 7) // 8, "big")
+        assert marks.tolist() == [int(lengths[run[:k]].sum()) for k in range(0, len(run), 256)]
+
+
+def test_forgotten_encoders_give_their_memory_back():
+    def held():
+        return int(open("/proc/self/status").read().split("RssAnon:")[1].split()[0]) >> 10
+
+    tokens.encoder(tokens.vocabulary())([f"w{k}x{k * k} {k:x}" for k in range(200_000)])
+    before = held()
+    tokens.forget()
+    assert not tokens._ENCODERS and before - held() > 30
