@@ -27,13 +27,18 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+#: Links in a scratch file, about; each file costs its writer more than this many rows do.
+FILE = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """From links (a, b) to (a, b) with b the smallest node that a reaches; nodes that are smallest have no row."""
     edges, path = common.written(edges.where("a <> b").distinct(), "links")
+    files = max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // FILE))
     state = None
     while True:
         before = path
-        edges, path = common.written(_small(_large(edges)), "stars")
+        edges, path = common.written(_small(_large(edges)).coalesce(files), "stars")
         common.removed(edges.sparkSession, before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
